@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import decontaminate, exact_dedup, mixing, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 with d as (
   select doc_id, case when source is null then '1' else '0' || source end as src,
-         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size
   from documents),
 s as (select src, sum(size)::bigint as source_size from d group by src),
 w as (select *, [5.0, 2.0, 1.0][((row_number() over (order by src) - 1) % 3 + 1)::int]::double as w,
@@ -61,12 +61,70 @@ select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
 from documents
 """
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+OP9_SQL = """
+with d as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as ws from documents),
+b as (
+  select item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as ws from benchmark),
+bw as (
+  select distinct item_id, n, array_to_string(ws[i:i + n - 1], ' ') as win
+  from (select item_id, ws, least(10, len(ws)) as n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as i
+        from b where len(ws) > 0)),
+dw as (
+  select doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') as win
+  from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i
+        from d, (select distinct n from bw) where len(ws) >= n)),
+m as (select doc_id, item_id, n, i from dw join bw using (n, win)),
+p as (select doc_id, count(distinct pos) as n_hit
+      from (select doc_id, unnest(range(i, i + n)) as pos from (select distinct doc_id, n, i from m)) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as items
+      from (select distinct doc_id, item_id from m) group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join p on p.doc_id = d.doc_id left join t on t.doc_id = d.doc_id
+"""
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in base],
+        F.sha2(joined(F.filter("secrets", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": OP1_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op9_decontaminate": OP9_SQL,
 }
