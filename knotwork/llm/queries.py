@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, secret_scan
+from . import decontaminate, exact_dedup, mixing, secret_scan, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-OP1_SQL = """
+OP1_SQL = r"""
 with d as (
   select doc_id, case when source is null then '1' else '0' || source end as src,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size
@@ -75,13 +75,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP9_SQL = """
+OP9_SQL = r"""
 with d as (
   select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as ws from documents),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as ws from documents),
 b as (
   select item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as ws from benchmark),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as ws from benchmark),
 bw as (
   select distinct item_id, n, array_to_string(ws[i:i + n - 1], ' ') as win
   from (select item_id, ws, least(10, len(ws)) as n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as i
@@ -116,8 +116,33 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages")))
+    return read.select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+OP3_SQL = """
+with p as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+         max(page_id) over (partition by coalesce(html, '')) as top from pages)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
+from p
+"""
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, frequencies = token_files.write_token_files(table(spark, sf_dir, "documents"))
+    return token_files.read_token_files(manifest, frequencies)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_warc_bundles": op3_warc_bundles,
+    "op6_token_files": op6_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
@@ -125,6 +150,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_mix_sources": OP1_SQL,
+    "op3_warc_bundles": OP3_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
 }
