@@ -14,18 +14,21 @@ committed tasks wrote. Readers take one manifest row at a time.
 from __future__ import annotations
 
 import io
+import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from ..storage import discard, make_folder, materialize_at, new_folder
 from .common import fresh
@@ -37,12 +40,33 @@ DEFAULT_VOCABULARY = "word_bpe_49k.json"
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
+def piece_pattern(definition: str) -> regex.Pattern | None:
+    """The pattern of pieces, if the tokenizer is: NFC, white space to one space, lower
+    case; pieces by a pattern; byte-level BPE without white space in its alphabet.
+
+    On Latin-1 text NFC changes nothing and lower case is one character for one, so
+    such words can be cut into pieces here and only the model asked. Control
+    characters and the like are no letters, hence left to the pattern.
+    """
+    d = json.loads(definition)
+    steps = [n.get("type") for n in (d.get("normalizer") or {}).get("normalizers", [])]
+    pre = (d.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [p.get("type") for p in pre] != ["Split", "ByteLevel"]:
+        return None
+    split, level = pre
+    if split["behavior"] != "Removed" or not split["invert"] or level["add_prefix_space"] or level["use_regex"]:
+        return None
+    if d["model"]["type"] != "BPE" or d["model"].get("dropout") or "Regex" not in split["pattern"]:
+        return None
+    return regex.compile(split["pattern"]["Regex"])
+
+
 class WordTokenizer:
     """Encodes texts word by word with a bounded memory of words.
 
     Right for tokenizers whose normaliser and pre-tokenizer never act across
-    ASCII white space and drop it (``splits_at_space``); others, and texts that
-    hold a special token's string, are encoded whole.
+    white space and drop it (``splits_at_space``); others, and texts that hold a
+    special token's string, are encoded whole.
     """
 
     def __init__(self, definition: str, splits_at_space: bool = True, most_words: int = 600_000):
@@ -51,34 +75,66 @@ class WordTokenizer:
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.pieces = piece_pattern(definition)
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(256) if c != 32}
         self.splits, self.most = splits_at_space, most_words
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Encode new words: Latin-1 ones piece by piece with the library's model alone, others by its whole chain."""
+        kind = self.type
+        if self.pieces is None:
+            plain, rest = [], words
+        else:
+            plain = [w for w in words if w.isascii() or max(w) <= "\xff"]
+            rest = [w for w in words if not w.isascii() and max(w) > "\xff"] if len(plain) < len(words) else []
+        ids: dict[str, bytes] = {}
+        model, find, table = self.tokenizer.model.tokenize, self.pieces and self.pieces.findall, self.bytes
+        for word in plain:
+            low = word.lower()
+            if low.isalpha():
+                parts = (low,)
+            elif low[-1] in ".,:;" and low[:-1].isalpha():
+                parts = (low[:-1], low[-1])
+            else:
+                parts = find(low)
+            out = b""
+            for piece in parts:
+                coded = ids.get(piece)
+                if coded is None:
+                    shown = piece if piece.isalnum() and piece.isascii() else piece.translate(table)
+                    coded = ids[piece] = array(self.code, [t.id for t in model(shown)]).tobytes()
+                out += coded
+            self.known[word] = out
+        for start in range(0, len(rest), 10_000):
+            part = rest[start : start + 10_000]
+            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(part, coded))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers."""
-        if not self.splits:
+        if not self.splits or self.special is None:
             return [self.whole(t or "") for t in texts]
-        cut = [t.split() if t and t.isascii() and not _ODD.search(t) else _SPACE.split(t) if t else [] for t in texts]
-        new = list(set().union(*cut) - self.known.keys())
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = list(set().union(*cut))
-        for start in range(0, len(new), 50_000):
-            part = new[start : start + 50_000]
-            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.type).tobytes()) for w, e in zip(part, coded))
+        cut = [(_SPACE.split(t) if any(c in t for c in _NO_SPACE) else t.split()) if t else [] for t in texts]
+        special = {i for i, t in enumerate(texts) if t and "|" in t and self.special.search(t)}
+        for i in special:
+            cut[i] = []
+        here = set().union(*cut)
+        new = here - self.known.keys()
+        if len(self.known) + len(new) > self.most:  # the words of this batch that were known are the common ones
+            self.known = {w: self.known[w] for w in here - new}
+        self.learn(list(new))
         get = self.known.__getitem__
-        return [
-            self.whole(t) if t and self.special and self.special.search(t) else b"".join(map(get, words))
-            for t, words in zip(texts, cut)
-        ]
+        return [self.whole(texts[i]) if i in special else b"".join(map(get, words)) for i, words in enumerate(cut)]
 
 
-#: ASCII characters at which str.split cuts although they are no space, tab or line end.
-_ODD = re.compile(r"[\x1c-\x1f]")
+#: str.split cuts at these, though tokenizers don't take them for white space.
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
 
 _workers: dict[int, WordTokenizer] = {}
 
@@ -101,8 +157,8 @@ def tokenize(rows: DataFrame, definition: str, end_id: int, splits_at_space: boo
         end = np.array([end_id], tokenizer.type).tobytes()
         part = TaskContext.get().partitionId()
         for whole in batches:
-            for start in range(0, len(whole), 1000):
-                batch = whole.slice(start, 1000)
+            for start in range(0, len(whole), 2000):
+                batch = whole.slice(start, 2000)
                 ids = [x + end for x in tokenizer.encode(batch.column("body").to_pylist())]
                 yield pa.RecordBatch.from_pydict(
                     {
