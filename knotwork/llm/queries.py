@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, secret_scan, token_files, warc
+from . import decontaminate, exact_dedup, language_id, mixing, secret_scan, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +134,14 @@ from p
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = language_id.fold("doc_id")
+    model = language_id.train(docs.filter(remainder != 1))
+    found = language_id.identify(docs, model, carry=["doc_id"])
+    return found.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, frequencies = token_files.write_token_files(table(spark, sf_dir, "documents"))
     return token_files.read_token_files(manifest, frequencies)
@@ -142,6 +150,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_warc_bundles": op3_warc_bundles,
+    "op4_language_id": op4_language_id,
     "op6_token_files": op6_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_decontaminate": op9_decontaminate,
