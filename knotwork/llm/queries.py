@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, mixing, secret_scan, token_files, warc
+from . import decontaminate, exact_dedup, language_id, mixing, neural_lm, ngram_join, secret_scan, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,29 @@ select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
 from documents
 """
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = ngram_join.similarity_join(table(spark, sf_dir, "documents")).components()
+    return parts.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+OP8_SQL = r"""
+with recursive w as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+'), []) as ws from documents),
+s as (
+  select distinct doc_id, unnest(case when len(ws) = 0 then []::varchar[]
+           when len(ws) < 5 then [array_to_string(ws, ' ')]
+           else [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+o as (select a.doc_id as x, b.doc_id as y, count(*) as o from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select x, y from o join n a on a.doc_id = x join n b on b.doc_id = y where 100 * o >= 75 * (a.n + b.n - o)),
+r as (select x as a, x as b from (select distinct x from l) union select r.a, l.y from r join l on l.x = r.b),
+c as (select a, min(b) as root from r group by a)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.root, w.doc_id) as component_id
+from w left join n on n.doc_id = w.doc_id left join c on c.a = w.doc_id
+"""
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]
@@ -142,6 +165,21 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(neural_lm.fold("doc_id") == 2, F.lit(False))
+    scored, model = neural_lm.score_documents(docs, docs.filter(~held))
+    return scored.select(
+        "doc_id",
+        F.coalesce(neural_lm.fold("doc_id") == 2, F.lit(False)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.totals["tokens"]).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, frequencies = token_files.write_token_files(table(spark, sf_dir, "documents"))
     return token_files.read_token_files(manifest, frequencies)
@@ -151,8 +189,10 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_warc_bundles": op3_warc_bundles,
     "op4_language_id": op4_language_id,
+    "op5_neural_lm": op5_neural_lm,
     "op6_token_files": op6_token_files,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ngram_join": op8_ngram_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
 }
@@ -161,5 +201,6 @@ ORACLE_SQL = {
     "op1_mix_sources": OP1_SQL,
     "op3_warc_bundles": OP3_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op8_ngram_join": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
 }
