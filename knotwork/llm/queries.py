@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, mixing, neural_lm, ngram_join, secret_scan, token_files, warc
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, neural_lm, ngram_join, secret_scan, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,6 +139,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages")))
     return read.select(
@@ -187,6 +192,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_line_dedup": op2_line_dedup,
     "op3_warc_bundles": op3_warc_bundles,
     "op4_language_id": op4_language_id,
     "op5_neural_lm": op5_neural_lm,
