@@ -69,7 +69,7 @@ class WordTokenizer:
     special token's string, are encoded whole.
     """
 
-    def __init__(self, definition: str, splits_at_space: bool = True, most_words: int = 600_000):
+    def __init__(self, definition: str, splits_at_space: bool = True, most_words: int = 400_000):
         self.tokenizer = Tokenizer.from_str(definition)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
@@ -136,24 +136,12 @@ class WordTokenizer:
 #: str.split cuts at these, though tokenizers don't take them for white space.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
 
-_workers: dict[int, WordTokenizer] = {}
-
-
-def _tokenizer(definition: str, splits: bool) -> WordTokenizer:
-    """One per Python worker, so later tasks know the words of earlier ones."""
-    key = zlib.crc32(definition.encode())
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = WordTokenizer(definition, splits)
-    return _workers[key]
-
-
 def tokenize(rows: DataFrame, definition: str, end_id: int, splits_at_space: bool = True) -> DataFrame:
     """``id, body`` to ``part, id, ids``: ids as bytes with the end id; part is the task's number."""
     shared = rows.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(shared.value, splits_at_space)
+        tokenizer = WordTokenizer(shared.value, splits_at_space)
         end = np.array([end_id], tokenizer.type).tobytes()
         part = TaskContext.get().partitionId()
         for whole in batches:
