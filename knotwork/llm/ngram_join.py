@@ -12,13 +12,18 @@ elements, which drops documents that merely share a passage. Each element then
 ties its holders to the smallest of them - never to each other - and the
 components of these ties contain all components of true links.
 
-*Tiles.* A small component is one tile. A large one is cut in size bands of ratio
-``1 / t`` and, within a band, in blocks by hash; tiles are pairs of blocks of the
-same or neighbouring bands, since sets further apart in size cannot link. In a
-tile every set has a hashed bitmap; bits that only one side has bound the overlap
-from above, and pairs that pass are intersected exactly as sorted arrays.
-``spanning`` links skip pairs that the tile already connects, so a group of
-near-copies costs one intersection a member.
+*Likely groups.* Each set has a hashed bitmap of two to four bits an element.
+Candidate components are cut in size bands of ratio ``1 / t`` and, within a band,
+in blocks by hash; tiles are pairs of blocks of the same or neighbouring bands,
+since sets further apart in size cannot link. In a tile, bits that only one side
+has bound the overlap from above; the components of the pairs that pass are the
+likely groups. Only bitmaps travel here, a small part of the sets.
+
+*Exact links.* A likely group is dealt in chunks by hash, each with a few anchors
+of its group, and pairs of a chunk that pass the bitmap bound are intersected
+exactly as sorted arrays. ``spanning`` links skip pairs already connected, so a
+group of near-copies costs one intersection a member. A group of several chunks
+that this leaves in pieces is then compared as a whole, in tiles as above.
 """
 
 from __future__ import annotations
@@ -129,8 +134,21 @@ def _map_sets(rows: DataFrame, width: int, schema: str, each) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """Bitmap of the smallest power of two of bits that gives two or more an element, 64 at least."""
+    bits = max(64, 1 << (2 * len(items) - 1).bit_length())
+    flags = np.zeros(bits, np.uint8)
+    flags[(items & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
 def _nodes(ids, sets, state):
-    return ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())
+    return (
+        ids,
+        pa.array([len(s) for s in sets], pa.int64()),
+        pa.array([digest(s) if len(s) else None for s in sets], pa.int64()),
+        pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+    )
 
 
 def _prefixes(percent: int, extra: float):
@@ -152,13 +170,6 @@ def _prefixes(percent: int, extra: float):
     return each
 
 
-def _arrays(ids, sets, state):
-    return (
-        pa.array([digest(s) if len(s) else None for s in sets], pa.int64()),
-        pa.array([s.tobytes() for s in sets], pa.binary()),
-    )
-
-
 def _shared(rows: DataFrame) -> DataFrame:
     """The rows whose element several nodes hold, with the smallest of them as ``m``."""
     per = rows.repartition("h").sortWithinPartitions("h", "d")
@@ -233,67 +244,92 @@ def tile_rows(members: DataFrame, percent: int, tile: int, weight: int) -> DataF
     )
 
 
-def tile_links(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int, spanning: bool) -> list[tuple[int, int]]:
-    """Links between the sets of a tile (between its sides, or all if side is 2)."""
-    sizes = np.array([len(s) for s in sets], np.int64)
+def tile_links(
+    nodes: np.ndarray,
+    sides: np.ndarray,
+    sizes: np.ndarray,
+    maps: list[np.ndarray],
+    percent: int,
+    spanning: bool,
+    sets: list[np.ndarray] | None = None,
+    groups: np.ndarray | None = None,
+) -> list[tuple[int, int]]:
+    """Links between the sets of a tile (between its sides, or all if side is 2).
+
+    Without ``sets``, the pairs that the bitmaps let pass. ``groups``: what is
+    connected already.
+    """
     order = np.argsort(sizes, kind="stable")
     nodes, sides, sizes = nodes[order], sides[order], sizes[order]
-    sets = [sets[i] for i in order]
-    m = len(sets)
-    bits = 64
-    while bits < 2 * int(sizes[m // 2]) and bits < 1 << 15:
-        bits *= 2
-    maps = np.zeros((m, bits // 64), np.uint64)
-    for i, s in enumerate(sets):
-        flags = np.zeros(bits, np.uint8)
-        flags[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
-        maps[i] = np.packbits(flags, bitorder="little").view(np.uint64)
-    group = np.arange(m)
+    maps = [maps[i] for i in order]
+    words = np.array([len(x) for x in maps])
+    # bitmaps of one length side by side; partners have the same length or half of it
+    layers, starts = {}, {}
+    for w in np.unique(words):
+        at = np.flatnonzero(words == w)
+        layers[int(w)], starts[int(w)] = np.stack([maps[i] for i in at]), int(at[0])
+    group = np.arange(len(nodes)) if groups is None else np.unique(groups[order], return_inverse=True)[1]
     links = []
     low = np.searchsorted(sizes, least_overlap(sizes, percent))
-    for i in range(1, m):
-        at = np.arange(low[i], i)
-        at = at[(nodes[at] != nodes[i]) & ((sides[i] == 2) | (sides[at] != sides[i]))]
+    for i in range(1, len(nodes)):
+        near = (nodes[low[i] : i] != nodes[i]) & ((sides[i] == 2) | (sides[low[i] : i] != sides[i]))
         if spanning:
-            at = at[group[at] != group[i]]
+            near &= group[low[i] : i] != group[i]
+        at = low[i] + np.flatnonzero(near)
         if not len(at):
             continue
-        only_i = np.bitwise_count(maps[i] & ~maps[at]).sum(1, dtype=np.int64)
-        only_j = np.bitwise_count(maps[at] & ~maps[i]).sum(1, dtype=np.int64)
-        bound = np.minimum(sizes[i] - only_i, sizes[at] - only_j)
+        bound = np.zeros(len(at), np.int64)
+        w = int(words[i])
+        for length in (w // 2, w):
+            own = words[at] == length
+            if not own.any():
+                continue
+            mine = maps[i] if length == w else maps[i][:length] | maps[i][length:]
+            others = layers[length][at[own] - starts[length]]
+            only_i = np.bitwise_count(mine & ~others).sum(1, dtype=np.int64)
+            only_j = np.bitwise_count(others & ~mine).sum(1, dtype=np.int64)
+            bound[own] = np.minimum(sizes[i] - only_i, sizes[at[own]] - only_j)
         may = 100 * bound >= percent * (sizes[i] + sizes[at] - bound)
         at = at[may][np.argsort(-bound[may], kind="stable")]
         while len(at):
             j = int(at[0])
             at = at[1:]
-            place = np.searchsorted(sets[i], sets[j])
-            place[place == len(sets[i])] = 0
-            both = int((sets[i][place] == sets[j]).sum())
-            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                links.append((int(nodes[i]), int(nodes[j])))
-                if spanning:
-                    group[group == group[j]] = group[i]
-                    at = at[group[at] != group[i]]
+            if sets is not None:
+                a, b = sets[order[i]], sets[order[j]]
+                place = np.searchsorted(a, b)
+                place[place == len(a)] = 0
+                both = int((a[place] == b).sum())
+                if 100 * both < percent * (sizes[i] + sizes[j] - both):
+                    continue
+            links.append((int(nodes[i]), int(nodes[j])))
+            if spanning:
+                group[group == group[j]] = group[i]
+                at = at[group[at] != group[i]]
     return links
 
 
-def _solve(percent: int, spanning: bool):
+def _solve(percent: int, spanning: bool, exact: bool):
+    """Links of tiles from rows ``tile, side, d, n, g, body`` sorted by tile; body: the set if exact, else its bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
 
         def solve():
             if len(rows) < 2:
                 return []
-            sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-            return tile_links(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), sets, percent, spanning)
+            nodes, sides, sizes, groups = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+            bodies = [np.frombuffer(r[4], np.uint64) for r in rows]
+            if exact:
+                return tile_links(nodes, sides, sizes, [bitmap(x) for x in bodies], percent, spanning, bodies, groups)
+            return tile_links(nodes, sides, sizes, bodies, percent, True)
 
         for batch in batches:
             links = []
-            for tile, d, side, body in zip(*(batch.column(c).to_pylist() for c in ("tile", "d", "side", "arr"))):
+            for tile, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "d", "side", "n", "g", "body"))):
                 if tile != now:
                     links += solve()
                     now, rows = tile, []
-                rows.append((d, side, body))
+                rows.append(row)
             yield pack(links)
         yield pack(solve())
 
@@ -305,6 +341,62 @@ def _solve(percent: int, spanning: bool):
     return run
 
 
+def chunk_rows(members: DataFrame, tile: int, weight: int, anchors: int) -> DataFrame:
+    """``tile, side, d`` from ``d, n, root``: each node in one chunk of its group, with the anchors of the group."""
+    sizes = members.groupBy("root").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(tile)), F.ceil(F.sum("n") / F.lit(weight))).cast("long").alias("chunks")
+    )
+    some = members.groupBy("root", F.pmod(F.xxhash64("d", F.lit(5)), F.lit(anchors)).alias("_k")).agg(F.min("d").alias("d"))
+    some = some.join(sizes.filter("chunks > 1"), "root").select(
+        "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("s"), "d"
+    )
+    each = members.join(sizes, "root").select("root", F.pmod(F.xxhash64("d", F.lit(3)), F.col("chunks")).alias("s"), "d")
+    both = each.unionByName(some).select(F.xxhash64("root", "s", F.lit("k")).alias("tile"), F.lit(2).alias("side"), "d")
+    return both.distinct()
+
+
+def rooted(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``d, n, id, root`` of the nodes (``d, n, id``) that have links."""
+    forest = star_forest(links)
+    roots = forest.select("root").distinct().select(F.col("root").alias("d"), F.col("root"))
+    return forest.select(F.col("v").alias("d"), "root").unionByName(roots).join(nodes, "d").select("d", "n", "id", "root")
+
+
+def _exact_links(rows: DataFrame, nodes: DataFrame, placed: DataFrame, width: int, percent: int, spanning: bool, few: int) -> DataFrame:
+    """Links of tiles ``tile, side, d``; nodes: ``d, id, n, g``. Sets are made once a node and sent to its tiles."""
+    wanted = nodes.select("id").distinct()
+    wanted = F.broadcast(wanted) if nodes.count() <= few else wanted
+    texts = rows.join(wanted, "id", "left_semi")
+    dealt = placed.groupBy("d").agg(F.collect_list(F.struct("tile", "side")).alias("to")).join(nodes.select("d", "id", "g"), "d")
+    named = texts.join(dealt.select("id", "d", "g", "to"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for whole in batches:
+            for start, n in parts_by_bytes(whole.column("body"), _PIECE):
+                part = whole.slice(start, n)
+                given = zip(part.column("d").to_pylist(), part.column("g").to_pylist(), part.column("to").to_pylist())
+                for (d, g, to), s in zip(given, shingler.sets(part.column("body"))):
+                    if not len(s) or digest(s) != d:
+                        continue  # another row with the id of the node's document
+                    k = len(to)
+                    for at in range(0, k, 64):
+                        some = to[at : at + 64]
+                        columns = {
+                            "tile": pa.array([t["tile"] for t in some], pa.int64()),
+                            "side": pa.array([t["side"] for t in some], pa.int32()),
+                            "d": pa.array([d] * len(some), pa.int64()),
+                            "n": pa.array([len(s)] * len(some), pa.int64()),
+                            "g": pa.array([g] * len(some), pa.int64()),
+                            "body": pa.array([s.tobytes()] * len(some), pa.binary()),
+                        }
+                        yield pa.RecordBatch.from_pydict(columns)
+
+    sets = named.mapInArrow(run, "tile long, side int, d long, n long, g long, body binary")
+    solved = sets.repartition("tile").sortWithinPartitions("tile", "d")
+    return materialize(solved.mapInArrow(_solve(percent, spanning, True), "src long, dst long"), "ngram-links")
+
+
 class Similar:
     """The result of a join.
 
@@ -333,10 +425,13 @@ def similarity_join(
     width: int = 5,
     percent: int = 75,
     extra: float = 0.125,
-    rounds: int = 2,
+    rounds: int = 1,
     tile: int = 1024,
     weight: int = 1 << 21,
-    broadcast_rows: int = 2_000_000,
+    map_tile: int = 8192,
+    map_weight: int = 1 << 24,
+    anchors: int = 8,
+    broadcast_rows: int = 1_000_000,
     spanning: bool = True,
 ) -> Similar:
     """Link documents whose shingle sets have a Jaccard similarity of ``percent``/100 or more.
@@ -348,7 +443,7 @@ def similarity_join(
     """
     spark = df.sparkSession
     rows = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
-    documents = materialize(_map_sets(rows, width, "id long, n long, d long", _nodes), "ngram-nodes")
+    documents = materialize(_map_sets(rows, width, "id long, n long, d long, bits binary", _nodes), "ngram-nodes")
     sized = documents.filter("d is not null").groupBy("d").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     least = F.ceil(F.col("n") * percent / 100)
     need = F.floor(F.lit(extra) * least) + 1
@@ -361,20 +456,37 @@ def similarity_join(
         live, path = following, new_path
     enough = live.groupBy("d").count().join(sized, "d").filter(F.col("count") >= need).select("d")
     ties = live.join(enough, "d").filter("d <> m").select("d", "m").distinct()
-    forest = star_forest(ties, "d", "m")
-    roots = forest.select("root").distinct().select(F.col("root").alias("d"), F.col("root"))
-    members = materialize(
-        forest.select(F.col("v").alias("d"), "root").unionByName(roots).join(sized, "d").select("d", "root", "n", "id"),
-        "ngram-members",
-    )
+    nodes = sized.select("d", "n", "id")
+    members = materialize(rooted(ties.select(F.col("d").alias("src"), F.col("m").alias("dst")), nodes), "ngram-members")
     discard(spark, path)
-    wanted = members.select("id").distinct()
-    wanted = F.broadcast(wanted) if members.count() <= broadcast_rows else wanted
-    arrays = _map_sets(rows.join(wanted, "id", "left_semi"), width, "d long, arr binary", _arrays)
-    placed = tile_rows(members, percent, tile, weight)
-    dealt = placed.join(arrays, "d").repartition("tile").sortWithinPartitions("tile")
-    links = materialize(dealt.mapInArrow(_solve(percent, spanning), "src long, dst long"), "ngram-links")
-    return Similar(documents, links)
+    named = F.broadcast(members.select("id", "d")) if members.count() <= broadcast_rows else members.select("id", "d")
+    maps = documents.select("id", "d", "n", "bits").join(named, ["id", "d"], "left_semi").dropDuplicates(["d"]).drop("id")
+    placed = tile_rows(members.select("d", "n", "root"), percent, map_tile, map_weight)
+    dealt = placed.join(maps, "d").select("tile", "side", "d", "n", F.col("d").alias("g"), F.col("bits").alias("body"))
+    passed = dealt.repartition("tile").sortWithinPartitions("tile", "d").mapInArrow(_solve(percent, True, False), "src long, dst long")
+    likely = materialize(rooted(passed, nodes), "ngram-likely")
+
+    def exact(some: DataFrame, placed: DataFrame) -> DataFrame:
+        return _exact_links(rows, some, placed, width, percent, spanning, broadcast_rows)
+
+    plain = likely.select("d", "n", "root")
+    start = likely.select("d", "n", "id", "root", F.col("d").alias("g"))
+    if not spanning:
+        return Similar(documents, exact(start, tile_rows(plain, percent, tile, weight)))
+    links = exact(start, chunk_rows(plain, tile, weight, anchors))
+    large = likely.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    large = materialize(large.filter((F.col("c") > tile) | (F.col("w") > weight)).select("root"), "ngram-large")
+    if large.isEmpty():
+        return Similar(documents, links)
+    found = star_forest(links).select(F.col("v").alias("d"), F.col("root").alias("g"))
+    grouped = likely.join(large, "root", "left_semi").join(found, "d", "left").withColumn("g", F.coalesce("g", "d"))
+    grouped = materialize(grouped.select("d", "n", "id", "root", "g"), "ngram-grouped")
+    pieces = grouped.groupBy("root").agg(F.min("g").alias("a"), F.max("g").alias("b")).filter("a <> b").select("root")
+    broken = materialize(grouped.join(pieces, "root", "left_semi"), "ngram-broken")
+    if broken.isEmpty():
+        return Similar(documents, links)
+    more = exact(broken, tile_rows(broken.select("d", "n", "root"), percent, tile, weight))
+    return Similar(documents, links.unionByName(more))
 
 
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
