@@ -308,6 +308,22 @@ def tile_links(
     return links
 
 
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each linked node with the smallest node that its links reach."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [(x, find(x)) for x in list(root) if find(x) != x]
+
+
 def _solve(percent: int, spanning: bool, exact: bool):
     """Links of tiles from rows ``tile, side, d, n, g, body`` sorted by tile; body: the set if exact, else its bitmap."""
 
@@ -320,8 +336,10 @@ def _solve(percent: int, spanning: bool, exact: bool):
             nodes, sides, sizes, groups = (np.array([r[k] for r in rows], np.int64) for k in range(4))
             bodies = [np.frombuffer(r[4], np.uint64) for r in rows]
             if exact:
-                return tile_links(nodes, sides, sizes, [bitmap(x) for x in bodies], percent, spanning, bodies, groups)
-            return tile_links(nodes, sides, sizes, bodies, percent, True)
+                links = tile_links(nodes, sides, sizes, [bitmap(x) for x in bodies], percent, spanning, bodies, groups)
+            else:
+                links = tile_links(nodes, sides, sizes, bodies, percent, True)
+            return stars(links) if spanning or not exact else links
 
         for batch in batches:
             links = []
@@ -401,15 +419,16 @@ class Similar:
     """The result of a join.
 
     ``documents``: id, n (set size), d (node; null without words);
-    ``links``: src, dst between nodes (all, or a spanning set).
+    ``links``: src, dst between nodes: all, or if spanning, ties of nodes to the
+    smallest node that their links reach within a tile.
     """
 
-    def __init__(self, documents: DataFrame, links: DataFrame):
-        self.documents, self.links = documents, links
+    def __init__(self, documents: DataFrame, links: DataFrame, forest: DataFrame | None = None):
+        self.documents, self.links, self.forest = documents, links, forest
 
     def components(self) -> DataFrame:
         """``id, n, component`` (smallest id reachable) of every document."""
-        forest = star_forest(self.links)
+        forest = self.forest if self.forest is not None else star_forest(self.links)
         joined = self.documents.join(forest.withColumnRenamed("v", "d"), "d", "left")
         rooted = joined.select("id", "n", F.coalesce("root", "d").alias("root"))
         named = rooted.filter("root is not null")
@@ -478,13 +497,14 @@ def similarity_join(
     large = materialize(large.filter((F.col("c") > tile) | (F.col("w") > weight)).select("root"), "ngram-large")
     if large.isEmpty():
         return Similar(documents, links)
-    found = star_forest(links).select(F.col("v").alias("d"), F.col("root").alias("g"))
+    forest = star_forest(links)
+    found = forest.select(F.col("v").alias("d"), F.col("root").alias("g"))
     grouped = likely.join(large, "root", "left_semi").join(found, "d", "left").withColumn("g", F.coalesce("g", "d"))
     grouped = materialize(grouped.select("d", "n", "id", "root", "g"), "ngram-grouped")
     pieces = grouped.groupBy("root").agg(F.min("g").alias("a"), F.max("g").alias("b")).filter("a <> b").select("root")
     broken = materialize(grouped.join(pieces, "root", "left_semi"), "ngram-broken")
     if broken.isEmpty():
-        return Similar(documents, links)
+        return Similar(documents, links, forest)
     more = exact(broken, tile_rows(broken.select("d", "n", "root"), percent, tile, weight))
     return Similar(documents, links.unionByName(more))
 
