@@ -41,11 +41,13 @@ def _with_least(rows: DataFrame, n: int) -> DataFrame:
     return rows.join(hot, "u").select("u", "v", "m").unionAll(rest.select("u", "v", "m"))
 
 
-def _round(edges: DataFrame, n: int) -> DataFrame:
-    """A large star, then a small star."""
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = _with_least(both, n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    small = _with_least(large, n)
+    return _with_least(both, n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    small = _with_least(edges, n)
     moved = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(small.select("u", F.col("m").alias("v"))).distinct()
 
@@ -62,8 +64,11 @@ def star_forest(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFra
         n, done = _settled(now)
         if done:
             break
-        following, new_path = materialize_at(_round(now, n), "star")
+        # written in between: one plan of both steps would repeat the first in each branch of the second
+        large, large_path = materialize_at(_large_star(now, n), "star")
         discard(spark, path)
+        following, new_path = materialize_at(_small_star(large, n), "star")
+        discard(spark, large_path)
         now, path = following, new_path
     else:
         raise RuntimeError("components did not settle")
