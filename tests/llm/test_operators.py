@@ -196,3 +196,12 @@ def test_ngram_join(spark, docs):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.id: r.component for r in ngram_join.similarity_join(df, tile=16).components().collect()}
     assert [got[i] for i in range(150)] == root
+
+
+def test_commonest_words(spark):
+    rows = [(b"%d" % i, c) for i, c in enumerate([900, 40, 40, 7, 7, 7, 1, 1, 1, 1])]
+    counts = spark.createDataFrame(rows, "w binary, c long")
+    want = sorted(rows, key=lambda x: (-x[1], x[0]))
+    for most in (0, 1, 2, 5, 10, 99):
+        assert neural_lm.commonest(counts, most) == want[:most]
+    assert neural_lm.commonest(counts.limit(0), 5) == []
