@@ -205,3 +205,19 @@ def test_commonest_words(spark):
     for most in (0, 1, 2, 5, 10, 99):
         assert neural_lm.commonest(counts, most) == want[:most]
     assert neural_lm.commonest(counts.limit(0), 5) == []
+
+
+def test_network_sees_more_of_a_larger_corpus(spark):
+    rng = np.random.default_rng(3)
+    seen, gains = [], []
+    for n in (40, 400):
+        rows = [(i, " ".join(f"w{(k + int(rng.integers(0, 2))) % 30}" for k in range(i, i + 200))) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        scored, model = neural_lm.score_documents(df, df, examples=1000, shard=1000)
+        seen.append(model.totals["seen"])
+        sums = scored.agg({"base_score": "sum", "score": "sum"}).first()
+        gains.append(sums["sum(score)"] - sums["sum(base_score)"])
+        again = neural_lm.score_documents(df.repartition(3), df.repartition(5), examples=1000, shard=1000)[0]
+        assert np.allclose(sorted(r.score for r in again.collect()), sorted(r.score for r in scored.collect()))
+    assert seen[1] == pytest.approx(10 * seen[0], rel=0.01) and min(gains) > 0
+    assert neural_lm.class_count(10**6, 1000) == 1000 < neural_lm.class_count(10**8, 1000) < neural_lm.class_count(4 * 10**9, 1000)
