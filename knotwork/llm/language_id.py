@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 
 from .decontaminate import parts_by_bytes
 
-WIDTH = 22
+#: Letters whose features are held at a time.
+LETTERS = 1 << 18
 HASHES = 1 << 16
 BLOCK = 32
 CHAIN = 64
@@ -38,26 +39,39 @@ class Features:
         self.lexicon = {w: HASHES + 1 + i for i, w in enumerate(lexicon)}
         self.size = HASHES + 1 + len(lexicon)
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        raw = [b"\x02" + w.encode("utf-8", "surrogatepass")[: WIDTH - 2] + b"\x03" for w in words]
-        grid = np.frombuffer(b"".join(r.ljust(WIDTH, b"\0") for r in raw), np.uint8).reshape(-1, WIDTH).astype(np.uint32)
-        length = np.fromiter(map(len, raw), np.int64, len(raw))
-        out = [np.fromiter((self.lexicon.get(w, 0) for w in words), np.int64, len(words))]
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Weight indices of all words one after another, and how many each has.
 
-        def add(code: np.ndarray, kind: int, there: np.ndarray) -> None:
+        Every word has its lexicon entry, eight affixes from its real ends and all its trigrams.
+        """
+        n = len(words)
+        raw = [b"\x02" + w.encode("utf-8", "surrogatepass") + b"\x03" for w in words]
+        length = np.fromiter(map(len, raw), np.int64, n)
+        data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
+        start = np.cumsum(length) - length
+        out = [np.fromiter((self.lexicon.get(w, 0) for w in words), np.int64, n)]
+
+        def index(code: np.ndarray, kind: int) -> np.ndarray:
             mixed = (code + np.uint32(kind * 0x01000193)) * np.uint32(0x9E3779B1)
-            out.append(np.where(there, (mixed >> np.uint32(16)).astype(np.int64) % HASHES + 1, 0))
+            return (mixed >> np.uint32(16)).astype(np.int64) % HASHES + 1
 
-        for i in range(WIDTH - 2):  # trigrams, which also give the affixes of two letters
-            add(grid[:, i] | (grid[:, i + 1] << 8) | (grid[:, i + 2] << 16), 1, length >= i + 3)
-        at = np.arange(len(words))
-        code, end = np.zeros(len(words), np.uint32), np.zeros(len(words), np.uint32)
+        code, end = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
         for k in range(1, 5):
-            code = code * np.uint32(257) + grid[:, min(k, WIDTH - 1)]
-            end = end * np.uint32(257) + grid[at, np.maximum(length - 1 - k, 0)]
-            add(code, 1 + k, length >= k + 2)
-            add(end, 5 + k, length >= k + 2)
-        return np.stack(out, 1)
+            code = code * np.uint32(257) + data[start + np.minimum(k, length - 1)]
+            end = end * np.uint32(257) + data[start + np.maximum(length - 1 - k, 0)]
+            out.append(np.where(length >= k + 2, index(code, 1 + k), 0))
+            out.append(np.where(length >= k + 2, index(end, 5 + k), 0))
+        fixed = len(out)
+        sizes = fixed + np.maximum(length - 2, 0)
+        first = np.cumsum(sizes) - sizes
+        flat = np.zeros(int(sizes.sum()), np.int64)
+        for i, column in enumerate(out):
+            flat[first + i] = column
+        word = np.repeat(np.arange(n), length - 2)  # trigrams, which also give the affixes of two letters
+        inside = np.arange(len(word)) - np.repeat(np.cumsum(length - 2) - (length - 2), length - 2)
+        at = start[word] + inside
+        flat[first[word] + fixed + inside] = index(data[at] | (data[at + 1] << 8) | (data[at + 2] << 16), 1)
+        return flat, sizes
 
 
 def has_letter(word: str) -> bool:
@@ -79,10 +93,18 @@ class Crf:
     def emissions(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros((0, len(self.labels)), np.float32)
-        out = np.zeros((len(words), len(self.labels)), np.float32)
-        rows = self.features.rows(words)
-        for j in range(rows.shape[1]):
-            out += self.weights[rows[:, j]]
+        out = np.empty((len(words), len(self.labels)), np.float32)
+        at = 0
+        while at < len(words):  # pieces of bounded size, or one longer word
+            size, stop = len(words[at]), at + 1
+            while stop < len(words) and size + len(words[stop]) <= LETTERS:
+                size += len(words[stop])
+                stop += 1
+            flat, sizes = self.features.rows(words[at:stop])
+            ends = np.cumsum(sizes)
+            for j in range(len(self.labels)):
+                out[at:stop, j] = np.add.reduceat(self.weights[flat, j], ends - sizes)
+            at = stop
         out[[not has_letter(w) for w in words]] = 0
         return out
 
@@ -157,8 +179,9 @@ class Crf:
                 spliced_of[row, at : at + size] = of[other]
                 at += size + int(rng.integers(4, 24))
         words = list(vocabulary)
-        rows = self.features.rows(words)
-        rows[[not has_letter(w) for w in words]] = 0
+        flat, sizes = self.features.rows(words)
+        flat[np.repeat([not has_letter(w) for w in words], sizes)] = 0
+        first_of = np.cumsum(sizes) - sizes
         k = len(self.labels)
         w = np.zeros((self.features.size, k))
         first, second = np.zeros_like(w), np.zeros_like(w)
@@ -169,14 +192,18 @@ class Crf:
                 turn += 1
                 ids, gold = spliced[some], spliced_of[some]
                 real = ids >= 0
-                feats = rows[np.where(real, ids, 0)] * real[..., None]
-                scores = w[feats].sum(2)
+                here = np.where(real, ids, 0).ravel()
+                count = sizes[here]
+                starts = np.cumsum(count) - count
+                feats = flat[np.repeat(first_of[here] - starts, count) + np.arange(int(count.sum()))]
+                feats[np.repeat(~real.ravel(), count)] = 0
+                scores = np.add.reduceat(w[feats], starts).reshape(*ids.shape, k)
                 probs, pairs, want = self._expect(scores, gold, real)
                 error = probs - np.eye(k)[gold] * real[..., None]
                 grad = np.zeros_like(w)
-                flat, err = feats.reshape(-1, feats.shape[2]), error.reshape(-1, k)
+                err = error.reshape(-1, k)
                 for j in range(k):
-                    grad[:, j] = np.bincount(flat.ravel(), np.repeat(err[:, j], flat.shape[1]), minlength=len(w))
+                    grad[:, j] = np.bincount(feats, np.repeat(err[:, j], count), minlength=len(w))
                 grad = grad / len(some) + decay * w
                 grad[0] = 0
                 move = (pairs - want) / len(some) + decay * self.moves

@@ -221,3 +221,17 @@ def test_network_sees_more_of_a_larger_corpus(spark):
         assert np.allclose(sorted(r.score for r in again.collect()), sorted(r.score for r in scored.collect()))
     assert seen[1] == pytest.approx(10 * seen[0], rel=0.01) and min(gains) > 0
     assert neural_lm.class_count(10**6, 1000) == 1000 < neural_lm.class_count(10**8, 1000) < neural_lm.class_count(4 * 10**9, 1000)
+
+
+def test_language_features_cover_whole_words():
+    features = language_id.Features([])
+    words = ["a", "x" * 40 + "ung", "x" * 40 + "ment", "\u4e2d" * 30 + "\u6587", "x" * 40 + "ung"]
+    flat, sizes = features.rows(words)
+    assert sizes.tolist() == [9 + len(w.encode()) for w in words] and len(flat) == sizes.sum()
+    parts = np.split(flat, np.cumsum(sizes)[:-1])
+    assert parts[1].tolist() == parts[4].tolist() and set(parts[1]) != set(parts[2])
+    assert set(features.rows(["zung"])[0][[2, 4, 6]]) <= set(parts[1])  # suffixes of one to three letters
+    model = language_id.Crf(["a", "b"], [])
+    docs = [(["x" * 30 + end] * 64, label) for label, end in ((0, "ung"), (1, "ment"))] * 40
+    model.fit(docs, 4, 0.05, 1e-4, 5)
+    assert model.emissions(["y" * 30 + "ung", "y" * 30 + "ment"]).argmax(1).tolist() == [0, 1]
