@@ -93,3 +93,26 @@ def test_nmi_of_trivial_partitions(spark):
     assert metrics.nmi(one, two).first()[0] == 0.0
     assert metrics.nmi(two, two).first()[0] == 1.0
     assert metrics.nmi(two.limit(0), two.limit(0)).first()[0] == 0.0
+
+
+def test_refinement_ends_only_without_offers(spark):
+    far = 1 << 17  # both ends always show the same coin
+    g = graph(spark, [(0, far), (1, far + 1)])
+    parents = spark.createDataFrame([(0, 0), (far, 0), (1, 1), (far + 1, 1)], "v long, c long")
+    near, degree = detect._links([0, 1], [far, far + 1], [1, 1])
+    kernel = detect._refine(near, degree, {0: 0, far: 0, 1: 1, far + 1: 1}, 1.0, 0.05)
+    rounds = {r.v: r.c for r in detect.refine(g, parents, 1.0, 0.05).collect()}
+    for found in (kernel, rounds):
+        assert found[0] == found[far] != found[1] == found[far + 1]
+
+
+def test_both_paths_end_without_offers(spark):
+    g = graph(spark, TRIANGLES)
+    start = g.vertices.filter("deg > 0").select("v", F.col("v").alias("c"))
+    rows = g.edges.select("src", "dst", "w").collect()
+    near, degree = detect._links(*zip(*[(r.src, r.dst, r.w) for r in rows]))
+    label = {v: v for v in near}
+    detect._local_moves(near, degree, label, 1.0)
+    kernel = spark.createDataFrame(list(label.items()), "v long, c long")
+    for found in (kernel, detect.local_moving(g, start, 1.0)[0]):
+        assert moves.best_moves(moves.move_gains(g.adj, found, 1.0)).filter("not stay").count() == 0
