@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of input after which a worker returns freed memory.
+STEP = 32 << 20
 #: ASCII white space that separates words: space, tab, LF, VT, FF, CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -39,7 +45,42 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def packed(df: DataFrame, leave: tuple[str, ...] = ()) -> Column:
+    """All columns of ``df`` but those in ``leave`` as one struct, so that none can clash with a column made here."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in leave])
+
+
 def crc32_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the decimal id, modulo n: the fold rule of held-out rows."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(col.cast("string").cast("binary")) % n
+
+
+def give_back() -> None:
+    """Return freed memory to the system; Python workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A mapInArrow function that returns freed memory after every ``STEP`` bytes of input and at its end."""
+
+    def watched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            yield batch
+            seen += batch.nbytes
+            del batch
+            if seen > STEP:
+                give_back()
+                seen = 0
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(watched(batches))
+        finally:
+            give_back()
+
+    return wrapped

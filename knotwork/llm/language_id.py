@@ -23,10 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import crc32_mod, lean
 from .decontaminate import parts_by_bytes
 
-#: Letters whose features are held at a time.
-LETTERS = 1 << 18
+#: Letters whose features are held at a time; bytes of text labelled at a time.
+LETTERS, PIECE = 1 << 18, 1 << 20
 HASHES = 1 << 16
 BLOCK = 32
 CHAIN = 64
@@ -334,7 +335,7 @@ def identify(
         crf = pickle.loads(shared.value)
         labeller = crf and Labeller(crf)
         for whole in batches:
-            for start, n in parts_by_bytes(whole.column("_body"), 3 << 20):
+            for start, n in parts_by_bytes(whole.column("_body"), PIECE):
                 part = whole.slice(start, n)
                 docs = [words_of(t) for t in part.column("_body").to_pylist()]
                 preds, scores, runs = ["und"] * n, [0.0] * n, [[] for _ in range(n)]
@@ -358,15 +359,13 @@ def identify(
 
     more = "_pred string, _score double" + ", _runs array<struct<start:bigint,end:bigint,lang:string>>" * spans
     fields = T.StructType([rows.schema[c] for c in inner] + list(T._parse_datatype_string(more).fields))
-    out = rows.mapInArrow(run, fields)
+    out = rows.mapInArrow(lean(run), fields)
     named = [("_pred", "lang_pred"), ("_score", "score")] + [("_runs", "lang_spans")] * spans
     return out.select(*[F.col(a).alias(c) for c, a in [*zip(carry, inner)]], *[F.col(a).alias(c) for a, c in named])
 
 
 def fold(doc_id: str | Column) -> Column:
     """crc32 of the id as text, modulo 3; rows with 1 are held out of training."""
-    from .common import crc32_mod
-
     return crc32_mod(doc_id, 3)
 
 

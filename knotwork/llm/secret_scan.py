@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh, lean
 from .decontaminate import parts_by_bytes
 
 #: More literal alternatives than this are not kept as exact strings.
@@ -253,7 +254,7 @@ def scan_secrets(
         [rows.schema[c] for c in inner]
         + list(T._parse_datatype_string("_spans array<struct<kind:string,start:bigint,end:bigint>>").fields)
     )
-    out = rows.mapInArrow(run, fields)
+    out = rows.mapInArrow(lean(run), fields)
     return out.select(*[F.col(a).alias(c) for c, a in zip(carry, inner)], F.col("_spans").alias("secrets"))
 
 

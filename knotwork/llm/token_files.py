@@ -31,12 +31,15 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from ..storage import discard, make_folder, materialize_at, new_folder
-from .common import fresh
+from .common import lean
+from .decontaminate import parts_by_bytes
 from .files import open_input, open_output, task_file
 from .rans import BLOCK_TOKENS, FrequencyTable, decode_block, encode_block
 
 MAGIC = b"RTOK0001"
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
+#: Bytes of text encoded at a time.
+PIECE = 4 << 20
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -64,12 +67,15 @@ def piece_pattern(definition: str) -> regex.Pattern | None:
 class WordTokenizer:
     """Encodes texts word by word with a bounded memory of words.
 
+    Words are kept in a young and an old half; what a full young half replaces
+    is forgotten, unless it was met again meanwhile.
+
     Right for tokenizers whose normaliser and pre-tokenizer never act across
     white space and drop it (``splits_at_space``); others, and texts that hold a
     special token's string, are encoded whole.
     """
 
-    def __init__(self, definition: str, splits_at_space: bool = True, most_words: int = 400_000):
+    def __init__(self, definition: str, splits_at_space: bool = True, most_words: int = 300_000):
         self.tokenizer = Tokenizer.from_str(definition)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
@@ -81,6 +87,7 @@ class WordTokenizer:
         self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(256) if c != 32}
         self.splits, self.most = splits_at_space, most_words
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
@@ -125,10 +132,12 @@ class WordTokenizer:
         for i in special:
             cut[i] = []
         here = set().union(*cut)
+        if len(self.known) > self.most // 2:
+            self.known, self.old = {}, self.known
         new = here - self.known.keys()
-        if len(self.known) + len(new) > self.most:  # the words of this batch that were known are the common ones
-            self.known = {w: self.known[w] for w in here - new}
-        self.learn(list(new))
+        met = new & self.old.keys()
+        self.known.update((w, self.old[w]) for w in met)
+        self.learn(list(new - met))
         get = self.known.__getitem__
         return [self.whole(texts[i]) if i in special else b"".join(map(get, words)) for i, words in enumerate(cut)]
 
@@ -145,8 +154,8 @@ def tokenize(rows: DataFrame, definition: str, end_id: int, splits_at_space: boo
         end = np.array([end_id], tokenizer.type).tobytes()
         part = TaskContext.get().partitionId()
         for whole in batches:
-            for start in range(0, len(whole), 2000):
-                batch = whole.slice(start, 2000)
+            for start, n in parts_by_bytes(whole.column("body"), PIECE):
+                batch = whole.slice(start, n)
                 ids = [x + end for x in tokenizer.encode(batch.column("body").to_pylist())]
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -156,7 +165,7 @@ def tokenize(rows: DataFrame, definition: str, end_id: int, splits_at_space: boo
                     }
                 )
 
-    return rows.mapInArrow(run, "part long, id long, ids binary")
+    return rows.mapInArrow(lean(run), "part long, id long, ids binary")
 
 
 def count_ids(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
@@ -171,7 +180,7 @@ def count_ids(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"token": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 
     counts = np.zeros(size, np.int64)
-    for row in tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n")).collect():
+    for row in tokens.select("ids").mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n")).collect():
         counts[row[0]] = row[1]
     return counts
 
@@ -318,7 +327,7 @@ def write_token_files(
         yield pa.RecordBatch.from_pydict({n: pa.array([d[i] for d in done], t) for i, (n, t) in enumerate(zip(names, types))})
 
     manifest, _ = materialize_at(
-        tokens.mapInArrow(run, "file string, part long, first long, n_docs long, n_tokens long"), "token-manifest"
+        tokens.mapInArrow(lean(run), "file string, part long, first long, n_docs long, n_tokens long"), "token-manifest"
     )
     discard(spark, path)
     # one row per file, so one task may hold them
@@ -356,4 +365,4 @@ def read_token_files(manifest: DataFrame, table: bytes, with_ids: bool = False)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     files = manifest.select("file", "start")
     width = max(1, min(manifest.count(), 20_000))
-    return files.repartition(width, "file").mapInArrow(run, schema)
+    return files.repartition(width, "file").mapInArrow(lean(run), schema)

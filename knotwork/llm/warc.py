@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import make_folder, materialize, new_folder
+from .common import lean
 from .files import open_input, open_output, task_file
 
 # Fixed values of the Zstandard seekable format.
@@ -212,7 +213,7 @@ def write_warc(
             writer.close()
             yield pack(writer.ready())
 
-    return materialize(rows.mapInArrow(run, INDEX_SCHEMA), "warc-index")
+    return materialize(rows.mapInArrow(lean(run), INDEX_SCHEMA), "warc-index")
 
 
 def read_warc(index: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -253,4 +254,4 @@ def read_warc(index: DataFrame, with_payload: bool = False) -> DataFrame:
     schema = "key long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
     bundles = materialize(index.select("bundle").distinct(), "warc-bundles")
     width = max(1, min(bundles.count(), 20_000))
-    return bundles.repartition(width, "bundle").mapInArrow(run, schema + ", payload binary" * with_payload)
+    return bundles.repartition(width, "bundle").mapInArrow(lean(run), schema + ", payload binary" * with_payload)
