@@ -39,11 +39,12 @@ from pyspark.sql import functions as F
 
 from ..operators.components import star_forest
 from ..storage import discard, materialize, materialize_at
+from .common import lean
 from .decontaminate import parts_by_bytes, rolling
 from .secret_scan import segment_of
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_PIECE = 4 << 20
+_PIECE = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -131,7 +132,7 @@ def _map_sets(rows: DataFrame, width: int, schema: str, each) -> DataFrame:
                 columns = each(part.column("id"), shingler.sets(part.column("body")), state)
                 yield pa.RecordBatch.from_pydict(dict(zip(names, columns)))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def bitmap(items: np.ndarray) -> np.ndarray:
@@ -204,7 +205,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             waiting = bool(new[-1])
             h0, m0, last_d = int(h[-1]), int(least[-1]), int(d[-1])
 
-    return per.mapInArrow(run, "h long, d long, m long")
+    return per.mapInArrow(lean(run), "h long, d long, m long")
 
 
 def tile_rows(members: DataFrame, percent: int, tile: int, weight: int) -> DataFrame:
@@ -410,9 +411,9 @@ def _exact_links(rows: DataFrame, nodes: DataFrame, placed: DataFrame, width: in
                         }
                         yield pa.RecordBatch.from_pydict(columns)
 
-    sets = named.mapInArrow(run, "tile long, side int, d long, n long, g long, body binary")
+    sets = named.mapInArrow(lean(run), "tile long, side int, d long, n long, g long, body binary")
     solved = sets.repartition("tile").sortWithinPartitions("tile", "d")
-    return materialize(solved.mapInArrow(_solve(percent, spanning, True), "src long, dst long"), "ngram-links")
+    return materialize(solved.mapInArrow(lean(_solve(percent, spanning, True)), "src long, dst long"), "ngram-links")
 
 
 class Similar:
@@ -447,7 +448,7 @@ def similarity_join(
     rounds: int = 1,
     tile: int = 1024,
     weight: int = 1 << 21,
-    map_tile: int = 8192,
+    map_tile: int = 2048,
     map_weight: int = 1 << 24,
     anchors: int = 8,
     broadcast_rows: int = 1_000_000,
@@ -482,7 +483,7 @@ def similarity_join(
     maps = documents.select("id", "d", "n", "bits").join(named, ["id", "d"], "left_semi").dropDuplicates(["d"]).drop("id")
     placed = tile_rows(members.select("d", "n", "root"), percent, map_tile, map_weight)
     dealt = placed.join(maps, "d").select("tile", "side", "d", "n", F.col("d").alias("g"), F.col("bits").alias("body"))
-    passed = dealt.repartition("tile").sortWithinPartitions("tile", "d").mapInArrow(_solve(percent, True, False), "src long, dst long")
+    passed = dealt.repartition("tile").sortWithinPartitions("tile", "d").mapInArrow(lean(_solve(percent, True, False)), "src long, dst long")
     likely = materialize(rooted(passed, nodes), "ngram-likely")
 
     def exact(some: DataFrame, placed: DataFrame) -> DataFrame:
