@@ -6,8 +6,9 @@ are combined into rolling window hashes for the whole batch at once, a bit table
 and a sorted hash list leave the few candidate positions, and each is verified
 against the words themselves. No shuffle is needed.
 
-The set is broadcast only in chunks of at most ``chunk_bytes`` of benchmark
-text, a size that is summed before anything is collected. A larger benchmark is
+The set is broadcast only in chunks of about ``chunk_words`` words of the
+benchmark, which bounds the windows and so the memory of a worker (some 100
+bytes a word); they are counted before anything is collected. A larger benchmark is
 scanned chunk after chunk, each pass carrying the hits of the earlier ones
 through a table in the shared folder, so the result is the same.
 """
@@ -25,8 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import materialize
-from .common import _ALNUM, alnum_words, fresh
+from .common import _ALNUM, alnum_words, fresh, lean, packed
 
+#: Bytes of text scanned at a time.
+PIECE = 4 << 20
+#: Words of items, in Java's syntax.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,22 +62,54 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class WindowSet:
-    """The windows of some items, for lookups in batches of documents."""
+    """The windows of some items, for lookups in batches of documents.
+
+    Held as arrays: the hash of each distinct window, one place where it occurs
+    in the items' words, and the items that have it.
+    """
 
     def __init__(self, items: Iterable[tuple[str, str | None]], width: int):
-        by_length: dict[int, dict[bytes, set[str]]] = {}
+        self.names: list[str] = []
+        self.words: list[bytes] = []
+        shared: dict[bytes, bytes] = {}
+        starts: dict[int, list[tuple[int, int, int]]] = {}
         for item_id, text in items:
             words = alnum_words(text)
             n = min(width, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                by_length.setdefault(n, {}).setdefault(b" ".join(words[i : i + n]), set()).add(item_id)
+            if n:
+                starts.setdefault(n, []).append((len(self.names), len(self.words), len(words) - n + 1))
+                self.words.extend(shared.setdefault(w, w) for w in words)
+            self.names.append(item_id)
+        hashes = word_hashes(self.words)
         self.tables = []
-        for n, windows in by_length.items():
-            sums = np.array([rolling(word_hashes(w.split(b" ")), n)[0] for w in windows], np.uint64)
-            bits = max(16, min(26, int(len(sums) * 32).bit_length()))
-            table = np.zeros(1 << bits, bool)
-            table[sums >> np.uint64(64 - bits)] = True
-            self.tables.append((n, windows, np.unique(sums), table, np.uint64(64 - bits)))
+        for n, spans in starts.items():
+            count = np.array([c for _, _, c in spans])
+            inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            at = np.repeat([s for _, s, _ in spans], count) + inside
+            item = np.repeat([i for i, _, _ in spans], count).astype(np.int32)
+            sums = rolling(hashes, n)[at]
+            order = np.argsort(sums, kind="stable")
+            self.tables.append(self._table(n, sums[order], at[order], item[order]))
+
+    def _table(self, n: int, sums: np.ndarray, at: np.ndarray, item: np.ndarray) -> tuple:
+        """Equal windows become one; those that only share a hash stay apart, side by side."""
+        new = np.append(True, sums[1:] != sums[:-1])
+        group = np.cumsum(new) - 1
+        kept = at[new]
+        for i in np.flatnonzero(~new).tolist():
+            a, b = int(kept[group[i]]), int(at[i])
+            if self.words[a : a + n] != self.words[b : b + n]:  # another window with this hash: sort by content
+                rank = np.array([self.words[x : x + n] for x in at.tolist()] + [None], object)[:-1]
+                order = np.array(sorted(range(len(at)), key=lambda j: (int(sums[j]), rank[j])))
+                sums, at, item, rank = sums[order], at[order], item[order], rank[order]
+                new = np.array([True] + [sums[j] != sums[j - 1] or rank[j] != rank[j - 1] for j in range(1, len(at))])
+                break
+        ends = np.append(np.flatnonzero(new)[1:], len(at))
+        sums, at = sums[new], at[new]
+        bits = max(16, min(24, int(len(sums) * 8).bit_length()))
+        seen = np.zeros(1 << bits, bool)
+        seen[sums >> np.uint64(64 - bits)] = True
+        return n, sums, at, item, ends, seen, np.uint64(64 - bits)
 
     def scan(self, docs: list[list[bytes]]):
         """Cover flags of all words, document bounds, and the items of each document."""
@@ -82,21 +119,26 @@ class WindowSet:
         cover = np.zeros(len(words) + 1, np.int32)
         items: dict[int, set[str]] = {}
         hashes = word_hashes(words)
-        for n, windows, sums, table, shift in self.tables:
+        for n, sums, starts, item, item_ends, seen, shift in self.tables:
             if len(words) < n:
                 continue
             run = rolling(hashes, n)
-            at = np.flatnonzero(table[run >> shift])
+            at = np.flatnonzero(seen[run >> shift])
             place = np.minimum(np.searchsorted(sums, run[at]), len(sums) - 1)
-            at = at[sums[place] == run[at]]
+            hit = sums[place] == run[at]
+            at, place = at[hit], place[hit]
             doc = np.searchsorted(ends, at, side="right")
             inside = at + n <= ends[doc] if len(at) else np.zeros(0, bool)
-            for i, d in zip(at[inside].tolist(), doc[inside].tolist()):
-                found = windows.get(b" ".join(words[i : i + n]))
-                if found:
-                    cover[i] += 1
-                    cover[i + n] -= 1
-                    items.setdefault(d, set()).update(found)
+            for i, d, k in zip(at[inside].tolist(), doc[inside].tolist(), place[inside].tolist()):
+                here = words[i : i + n]
+                while k < len(sums) and sums[k] == run[i]:
+                    if self.words[starts[k] : starts[k] + n] == here:
+                        cover[i] += 1
+                        cover[i + n] -= 1
+                        found = item[item_ends[k - 1] if k else 0 : item_ends[k]]
+                        items.setdefault(d, set()).update(self.names[x] for x in found.tolist())
+                        break
+                    k += 1
         return np.cumsum(cover[:-1]) > 0, ends, counts, items
 
 
@@ -126,7 +168,7 @@ def scan_batches(shared, width: int, text: str, out: list[str], cut: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = WindowSet(shared.value, width)
         for whole in batches:
-            for start, n in parts_by_bytes(whole.column(text), 16 << 20):
+            for start, n in parts_by_bytes(whole.column(text), PIECE):
                 part = whole.slice(start, n)
                 texts = part.column(text).to_pylist()
                 flags, ends, counts, items = windows.scan([alnum_words(t) for t in texts])
@@ -175,7 +217,7 @@ def find_contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     width: int = 10,
-    chunk_bytes: int = 32 << 20,
+    chunk_words: int = 1 << 20,
     carry: list[str] | None = None,
     cut: bool = False,
 ) -> DataFrame:
@@ -201,8 +243,8 @@ def find_contamination(
     items = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("body")
     )
-    size = items.agg(F.sum(F.octet_length("body") + F.octet_length("item"))).first()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
+    size = items.agg(F.sum(F.regexp_count("body", F.lit(WORDS)) + 1)).first()[0] or 0
+    chunks = max(1, -(-size // chunk_words))
     extra = "_n_words long, _n_hit long, _items array<string>, _mask binary"
     sc = docs.sparkSession.sparkContext
     for k in range(chunks):
@@ -215,7 +257,7 @@ def find_contamination(
         step = scan_batches(shared, width, body, out, False)
         if cut and last and position is not None:
             step = scan_and_cut(shared, width, body, out, inner[position])
-        rows = rows.select(*[c for c in rows.columns if c not in ("_n_words", "_n_hit")]).mapInArrow(step, fields)
+        rows = rows.select(*[c for c in rows.columns if c not in ("_n_words", "_n_hit")]).mapInArrow(lean(step), fields)
         if not last:
             rows = materialize(rows, "decontaminate")
     return rows.select(
@@ -242,12 +284,15 @@ def scan_and_cut(shared, width: int, body: str, out: list[str], target: str):
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", remove: str = "documents", **options
 ) -> DataFrame:
-    """``docs`` without contaminated documents, or (``remove="spans"``) without the hit passages."""
+    """``docs`` without contaminated documents, or (``remove="spans"``) without the hit passages.
+
+    Rows without text or words stay. Columns may have any name; repeated rows
+    share their fate; an empty table stays empty.
+    """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be documents or spans, not {remove}")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    packed = docs.select(whole, F.col(text).alias("_text"))
-    found = find_contamination(packed, benchmark, text="_text", cut=remove == "spans", **options)
+    rows = docs.select(packed(docs).alias("_row"), F.col(text).alias("_text"))
+    found = find_contamination(rows, benchmark, text="_text", cut=remove == "spans", **options)
     if remove == "documents":
         return found.filter(~F.col("contaminated")).select("_row.*")
     return found.select(*[F.col("_text" if c == text else f"_row.`{c}`").alias(c) for c in docs.columns])

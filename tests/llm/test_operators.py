@@ -61,8 +61,8 @@ def test_mixing(spark, docs):
 
 def test_decontamination(spark, docs):
     items = spark.createDataFrame([(1, "w3 the w4 the w5 THE w6 the w7 the w8"), (2, None), (3, "one, two"), (3, "one, two")], "item_id int, text string")
-    for chunk in (1 << 20, 8):
-        out = {r.doc_id: r for r in decontaminate.find_contamination(docs, items, chunk_bytes=chunk).collect()}
+    for chunk in (1 << 20, 3):
+        out = {r.doc_id: r for r in decontaminate.find_contamination(docs, items, chunk_words=chunk).collect()}
         assert (out[5].items, out[4].items, out[1].n_words, out[4].n_hit) == (["1"], ["3"], 0, 2)
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, items).collect()) == [-3, 1, 2, 3, 8, 9]
     cut = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items, remove="spans").collect()}
