@@ -11,7 +11,9 @@ Equal texts are merged in three steps, each of which groups on the full text:
 The hot list is bounded by ``rows / hot_rows`` keys and is broadcast only below
 ``broadcast_keys``; beyond that it is joined. Only narrow rows (id and digests)
 are shuffled to carry the decision back, and adaptive skew joins split the hot
-digests there, because each side is dealt by its key alone.
+digests there, because each side is dealt by its key alone. There a text is
+known by its SHA-256, xxhash64 and length together: the merging compares full
+content, the way back takes the equality of all three for that of content.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import packed
 
 NORMALIZERS = {
     "none": lambda c: c,
@@ -77,16 +79,15 @@ def exact_duplicates(
     Columns of ``df`` that clash with the four results are replaced.
     """
     results = ("keep_id", "group_size", "kept", "text_sha256")
-    base = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in results])
-    id_col = fresh(base, "_id_of_row")
     classes = text_classes(df, text, order, normalize, **options)
     norm = _normal(text, normalize)
-    keyed = base.withColumns(
-        {"_k1": F.sha2(norm, 256), "_k2": F.xxhash64(norm), "_k3": F.length(norm), id_col: F.col(order)}
+    keyed = df.select(
+        packed(df, results).alias("_row"),
+        F.col(order).alias("_id"),
+        F.sha2(norm, 256).alias("_k1"),
+        F.xxhash64(norm).alias("_k2"),
+        F.length(norm).alias("_k3"),
     )
-    return (
-        keyed.join(classes, ["_k1", "_k2", "_k3"])
-        .withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_col)))
-        .withColumnRenamed("_k1", "text_sha256")
-        .drop("_k2", "_k3", id_col)
+    return keyed.join(classes, ["_k1", "_k2", "_k3"]).select(
+        "_row.*", "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col("_id")).alias("kept"), F.col("_k1").alias("text_sha256")
     )

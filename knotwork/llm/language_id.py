@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_mod, lean
+from .common import crc32_mod, lean, packed
 from .decontaminate import parts_by_bytes
 
 #: Letters whose features are held at a time; bytes of text labelled at a time.
@@ -370,7 +370,12 @@ def fold(doc_id: str | Column) -> Column:
 
 
 def keep_known(df: DataFrame, model: Crf | None, text: str = "text", least: float = 0.4) -> DataFrame:
-    """The rows of ``df`` whose language is known with a score of at least ``least``."""
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text).alias("_text"))
-    found = identify(packed, model, "_text", carry=["_row"])
+    """The rows of ``df`` whose language is known with a score of at least ``least``.
+
+    Others go: null and empty texts, texts without letters, and texts of so many
+    languages that the first has a mean marginal below ``least``. Repeated rows
+    share their fate; columns may have any name; an empty table stays empty.
+    """
+    rows = df.select(packed(df).alias("_row"), F.col(text).alias("_text"))
+    found = identify(rows, model, "_text", carry=["_row"])
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, word_count
+from .common import packed, word_count
 
 WEIGHTS = (5, 2, 1)
 
@@ -101,41 +101,42 @@ def mix_sources(
     the words it thereby takes. Null text has size 0; null sources form one
     source, last in the order of weights; null ids count as 0 for the split.
     Equal rows take neighbouring places. An empty table gives no rows. Columns
-    that clash with results are replaced. With ``carry=False`` only ``doc_id``
+    that clash with results are replaced; all others stay as they are, whatever
+    their names. With ``carry=False`` only ``doc_id``
     and ``source`` are carried.
     """
     results = ("size", "source_size", "target", "copies", "taken")
-    kept = [c for c in df.columns if c.lower() not in results] if carry else list(dict.fromkeys([doc_id, source]))
-    src = fresh(df, "_mix_source")
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], source_key(F.col(source)).alias(src), word_count(text).alias("size"))
-    rows = rows.withColumns({"_band": size_band(F.col("size")), "_split": split_of(F.col(doc_id), splits)})
-    narrow = df.select(source_key(F.col(source)).alias(src), F.col(doc_id).alias("_i"), word_count(text).alias("size"))
-    cells = narrow.groupBy(
-        src, size_band(F.col("size")).alias("_band"), split_of(F.col("_i"), splits).alias("_split")
-    ).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("size"))
-    targets = source_targets(cells, src, "size", weights, share, cap)
-    by_cell = Window.partitionBy(src).orderBy("_band", "_split")
-    cells = cells.withColumn("_before", F.sum("_n").over(by_cell) - F.col("_n")).drop("size", "_n")
-    plan = cells.join(targets, src).select(src, "_band", "_split", "_before", "source_size", "target")
-    inside = Window.partitionBy(src, "_band", "_split").orderBy("size", F.col(doc_id))
-    ranked = rows.withColumn("_rank", F.row_number().over(inside))
-    joined = ranked.join(plan, [src, "_band", "_split"])
+    row = packed(df, results) if carry else F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys([doc_id, source])])
+    narrow = df.select(source_key(F.col(source)).alias("_source"), F.col(doc_id).alias("_id"), word_count(text).alias("_size"))
+    place = {"_band": size_band(F.col("_size")), "_split": split_of(F.col("_id"), splits)}
+    key = ["_source", *place]
+    cells = narrow.withColumns(place).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_sum"))
+    targets = source_targets(cells, "_source", "_sum", weights, share, cap)
+    by_cell = Window.partitionBy("_source").orderBy("_band", "_split")
+    cells = cells.withColumn("_before", F.sum("_n").over(by_cell) - F.col("_n"))
+    plan = cells.join(targets, "_source").select(*key, "_before", "source_size", "target")
+    rows = df.select(
+        row.alias("_row"), F.col(doc_id).alias("_id"), source_key(F.col(source)).alias("_source"), word_count(text).alias("_size")
+    ).withColumns(place)
+    inside = Window.partitionBy(*key).orderBy("_size", "_id")
+    joined = rows.withColumn("_rank", F.row_number().over(inside)).join(plan, key)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     place = F.col("_before") + F.col("_rank")
-    start = offset_of(F.col(src), seed)
-    copies = F.floor(place * rate + start) - F.floor((place - 1) * rate + start)
-    out = joined.withColumn("copies", F.least(copies, F.lit(int(-(-cap // 1)))).cast("long"))
-    out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(
-        *[F.col(f"`{c}`") for c in kept],
-        *[F.col(c) for c in results],
+    start = offset_of(F.col("_source"), seed)
+    copies = F.least(F.floor(place * rate + start) - F.floor((place - 1) * rate + start), F.lit(int(-(-cap // 1)))).cast("long")
+    return joined.withColumn("_copies", copies).select(
+        "_row.*",
+        F.col("_size").alias("size"),
+        "source_size",
+        "target",
+        F.col("_copies").alias("copies"),
+        (F.col("_copies") * F.col("_size")).alias("taken"),
     )
 
 
 def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
     """The mix itself: the rows of ``df``, each repeated as often as it is taken."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    packed = df.select(whole, *[F.col(c).alias(a) for c, a in ((text, "_t"), (source, "_s"), (doc_id, "_d"))])
-    taken = mix_sources(packed, "_t", "_s", "_d", **options).filter("copies > 0")
+    rows = df.select(packed(df).alias("whole"))
+    taken = mix_sources(rows, *[f"whole.{c}" for c in (text, source, doc_id)], **options).filter("copies > 0")
     repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")
-    return taken.select("_row", repeat).select("_row.*")
+    return taken.select("whole", repeat).select("whole.*")

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import star_forest
 from ..storage import discard, materialize, materialize_at
-from .common import lean
+from .common import fresh, lean
 from .decontaminate import parts_by_bytes, rolling
 from .secret_scan import segment_of
 
@@ -513,8 +513,10 @@ def similarity_join(
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """``df`` with one document of each component: the one with the smallest id.
 
-    Documents without words stay. Rows that repeat an id stay or go together.
+    Documents without words and rows without id stay. Rows that repeat an id
+    stay or go together. Columns may have any name; an empty table stays empty.
     """
     parts = similarity_join(df, text, doc_id, **options).components()
-    gone = parts.filter("id <> component").select(F.col("id").alias("_gone")).distinct()
-    return df.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    name = fresh(df, "_gone")
+    gone = parts.filter("id <> component").select(F.col("id").alias(name)).distinct()
+    return df.join(gone, F.col(doc_id) == F.col(name), "left_anti")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, lean
+from .common import lean, packed
 from .decontaminate import parts_by_bytes
 
 #: More literal alternatives than this are not kept as exact strings.
@@ -259,8 +259,12 @@ def scan_secrets(
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "<secret>", **options) -> DataFrame:
-    """``df`` with every found span replaced by ``mark`` (overlaps count once)."""
-    found = scan_secrets(df, text, **options)
+    """``df`` with every found span replaced by ``mark`` (overlaps count once).
+
+    Null texts stay null; all other columns stay, whatever their names.
+    """
+    whole = df.select(packed(df).alias("_row"), F.col(text).cast("string").alias("_text"))
+    found = scan_secrets(whole, "_text", **options)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda acc, s: F.when(
         s["start"] < acc["at"],
@@ -270,12 +274,12 @@ def redact(df: DataFrame, text: str = "text", mark: str = "<secret>", **options)
             s["end"].alias("at"),
             F.concat(
                 acc["out"],
-                F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
+                F.substring(F.col("_text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
                 F.lit(mark),
             ).alias("out"),
         )
     )
     done = F.aggregate("secrets", start, step)
-    rest = F.expr(f"substring(`{text}`, cast(_done.at + 1 as int))")
-    clean = found.withColumn("_done", done).withColumn(text, F.concat(F.col("_done.out"), rest))
-    return clean.drop("_done", "secrets").select(*df.columns)
+    rest = F.expr("substring(_text, cast(_done.at + 1 as int))")
+    clean = found.withColumn("_done", done).withColumn("_clean", F.concat(F.col("_done.out"), rest))
+    return clean.select(*[F.col("_clean" if c == text else f"_row.`{c}`").alias(c) for c in df.columns])
