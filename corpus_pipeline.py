@@ -9,28 +9,44 @@ from knotwork.storage import materialize
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; the model learns from labelled rows outside the held-out fold."""
+    """Documents whose language is known; the model learns from labelled rows outside the held-out fold.
+
+    Documents whose likeliest language has a score below 0.4 go, and with them null
+    and empty texts and those without letters. Repeated rows share their fate.
+    Without a labelled row no language is known, so nothing stays.
+    """
     model = language_id.train(docs.filter(language_id.fold("doc_id") != 1))
     return language_id.keep_known(docs, model)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
+    """One document, that with the smallest id, of each group of near-duplicates.
+
+    Texts without words and rows without id stay; rows that repeat an id stay or go together.
+    """
     return ngram_join.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark; texts without words stay, equal rows share their fate."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated as often as the mixture of their sources takes them."""
+    """Documents repeated as often as the mixture of their sources takes them.
+
+    Null sources are a source of their own; texts without words have size 0 and
+    take places like others; equal rows take neighbouring places.
+    """
     return mixing.mixed_documents(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents, and what reading them back gives for each."""
+    """Token files of all documents, and what reading them back gives for each.
+
+    Null and empty texts are one end id; rows that repeat an id are written side
+    by side. An empty table gives no files and no rows. Only id and text are used.
+    """
     manifest, frequencies = token_files.write_token_files(docs)
     return token_files.read_token_files(manifest, frequencies)
 
