@@ -1,4 +1,4 @@
-"""python -m knotwork stats EDGES [--weighted] | community EDGES [TRUTH] [--algo louvain|leiden] [--weighted] [--bench DIR]"""
+"""python -m knotwork stats EDGES [--weighted] | community EDGES [TRUTH] [--algo louvain|leiden] [--louvain] [--leiden] [--weighted] [--bench DIR]"""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import detect, metrics, moves
+from .operators import detect, index, metrics, moves
 from .operators.graph import Graph
 from .sources import edgelist
 
@@ -23,6 +23,8 @@ def main(argv: list[str] | None = None) -> None:
         if name == "community":
             sub.add_argument("truth", nargs="?")
             sub.add_argument("--algo", choices=("louvain", "leiden"), default="louvain")
+            for algo in ("louvain", "leiden"):
+                sub.add_argument(f"--{algo}", dest="algo", action="store_const", const=algo)
             sub.add_argument("--resolution", type=float, default=1.0)
             sub.add_argument("--bench")
     args = parser.parse_args(argv)
@@ -34,7 +36,8 @@ def main(argv: list[str] | None = None) -> None:
         graph.log2_histogram().orderBy("bucket").show(40)
         return
     began = time.perf_counter()
-    found = detect.last_level(detect.detect(graph, args.algo, args.resolution))
+    hierarchy = detect.detect(graph, args.algo, args.resolution)
+    found = detect.last_level(hierarchy)
     repaired = moves.enforce_connectivity(graph, found)
     count = repaired.agg(F.countDistinct("c")).first()[0]
     took = 1000 * (time.perf_counter() - began)
@@ -45,6 +48,7 @@ def main(argv: list[str] | None = None) -> None:
     size = graph.summary().first()
     row = (args.algo, args.edges, size.nodes, size.edges, count, splits, score, nmi, took)
     spark.createDataFrame([row], edgelist.BENCH_SCHEMA).show(truncate=False)
+    index.CommunityIndex(graph, repaired, hierarchy).demo().show(truncate=False)
     if args.bench:
         edgelist.append_bench_row(spark, args.bench, row)
 

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prefix import sum_before
+
 
 class Graph:
     """``edges`` (src, dst, w), one row per undirected edge; loops count twice in degrees.
@@ -49,13 +51,7 @@ class Graph:
 
     def offsets(self) -> DataFrame:
         """Where each vertex's neighbours begin if they are laid out by vertex."""
-        from pyspark.sql import Window
-
-        block = F.floor(F.col("v") / 65536)
-        blocks = self.vertices.groupBy(block.alias("b")).agg(F.sum("deg").alias("s"))
-        before = blocks.select("b", (F.sum("s").over(Window.orderBy("b")) - F.col("s")).alias("base"))
-        inner = F.sum("deg").over(Window.partitionBy("b").orderBy("v")) - F.col("deg")
-        return self.vertices.withColumn("b", block).withColumn("o", inner).join(before, "b").select("v", (F.col("base") + F.col("o")).alias("start"))
+        return sum_before(self.vertices, "v", F.col("deg"), "start").select("v", "start")
 
     def summary(self) -> DataFrame:
         return self.vertices.agg(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prefix import place_of
 from .components import star_forest
 from .graph import Graph
 
@@ -55,9 +56,9 @@ def move_round(adj: DataFrame, partition: DataFrame, turn: int, parts: int, reso
 
 
 def renumber(partition: DataFrame) -> DataFrame:
-    """Dense labels ordered by the smallest member; the window runs over communities only."""
+    """Dense labels ordered by the smallest member, ranked in blocks of ids."""
     least = partition.groupBy("c").agg(F.min("v").alias("m"))
-    ids = least.select("c", (F.row_number().over(Window.orderBy("m")) - 1).cast("long").alias("id"))
+    ids = place_of(least, "m", "id").select("c", "id")
     return partition.join(ids, "c").select("v", F.col("id").alias("c"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import components, detect, index, metrics, moves
 from ..operators.graph import Graph
 from ..sources import edgelist, generate, views
+from ..storage import materialize
 
 #: Rounds that ``local_move_k_rounds`` runs, and its active fraction.
 ROUNDS, PARTS = 2, 2
@@ -21,8 +22,9 @@ P = "(select p_partkey as v, p_size::bigint as c from part)"
 B = "(select p_partkey as v, dense_rank() over (order by p_brand) - 1 as c from part)"
 
 
-def strong(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(views.part_copurchase(spark, sf_dir, 2))
+def copurchases(spark: SparkSession, sf_dir: str, least: int = 1) -> Graph:
+    """All pairs of parts of one order (``least``: bought together so often), joined once and stored."""
+    return Graph(materialize(views.part_copurchase(spark, sf_dir, least), "copurchases"))
 
 
 def by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,34 +54,34 @@ def query(sql: str | None = None):
 @query(f"""select count(*) as nodes, (sum(deg) // 2)::bigint as edges, round(sum(deg)::double / count(*), 9) as avg_degree,
   max(deg) as max_degree, sum((deg = 0)::bigint)::bigint as isolated, round(sum(k)::double / 2, 9) as total_weight from {V}""")
 def graph_summary(spark, sf_dir):
-    return strong(spark, sf_dir).summary()
+    return copurchases(spark, sf_dir).summary()
 
 
 @query(f"select v, deg from {V}")
 def degree_distribution(spark, sf_dir):
-    return strong(spark, sf_dir).vertices.select("v", "deg")
+    return copurchases(spark, sf_dir).vertices.select("v", "deg")
 
 
 @query(f"""select b::bigint as bucket, (case when b = 0 then 0 else 2 ** (b - 1) end)::bigint as low, count(*) as n
   from (select case when deg = 0 then 0 else len(bin(deg)) end as b from {V}) group by b""")
 def degree_log2_histogram(spark, sf_dir):
-    return strong(spark, sf_dir).log2_histogram()
+    return copurchases(spark, sf_dir).log2_histogram()
 
 
 @query(f"select v, k::bigint as k from {V}")
 def weighted_degree(spark, sf_dir):
-    return strong(spark, sf_dir).vertices.select("v", "k")
+    return copurchases(spark, sf_dir).vertices.select("v", "k")
 
 
 @query(f"""select bytes::bigint as bytes, round(bytes::double / m, 9) as bytes_per_edge, round(bytes::double / (2 * m), 9) as bytes_per_slot
   from (select 8 * (n + 1) + 24 * m + 8 * n as bytes, m from (select count(*) as n, (sum(deg) // 2)::bigint as m from {V}))""")
 def memory_model(spark, sf_dir):
-    return strong(spark, sf_dir).memory_model()
+    return copurchases(spark, sf_dir).memory_model()
 
 
 @query(f"select v, (sum(deg) over (order by v) - deg)::bigint as start from {V}")
 def adjacency_offsets(spark, sf_dir):
-    return strong(spark, sf_dir).offsets()
+    return copurchases(spark, sf_dir).offsets()
 
 
 LINES = """(select case when l_linenumber = 1 then '# ' || l_orderkey when l_linenumber = 2 then l_partkey::varchar
@@ -130,7 +132,7 @@ r(v, root) using key (v) as (select v, v from {N}
 
 @query(f"with {CC} select v, root from r")
 def connected_components(spark, sf_dir):
-    g = strong(spark, sf_dir)
+    g = copurchases(spark, sf_dir)
     return components.connected_components(g.vertices, g.edges)
 
 
@@ -149,13 +151,13 @@ PAIRS = "(select p_partkey as u, p_partkey * 7 + 3 as v from part)"
 
 @query(f"with {CC} select p.u, p.v, a.root = b.root as connected from {PAIRS} p left join r a on a.v = p.u left join r b on b.v = p.v")
 def reachability_pairs(spark, sf_dir):
-    g = strong(spark, sf_dir)
+    g = copurchases(spark, sf_dir)
     return index.CommunityIndex(g, by_size(spark, sf_dir)).connected(pairs(spark, sf_dir))
 
 
 @query(f"select p.u, p.v, a.c = b.c as same from {PAIRS} p left join {P} a on a.v = p.u left join {P} b on b.v = p.v")
 def same_community_pairs(spark, sf_dir):
-    g = strong(spark, sf_dir)
+    g = copurchases(spark, sf_dir)
     return index.CommunityIndex(g, by_size(spark, sf_dir)).same_community(pairs(spark, sf_dir))
 
 
@@ -167,7 +169,7 @@ r(v, root) using key (v) as (select v, v from {N}
   union select a.dst, min(r.root) from r join a on a.src = r.v join recurring.r q on q.v = a.dst where r.root < q.root group by a.dst)
 select v, root from r""")
 def add_edges_components(spark, sf_dir):
-    g = strong(spark, sf_dir)
+    g = copurchases(spark, sf_dir)
     more = g.vertices.filter("v % 10 = 0").select(F.col("v").alias("src"), (F.col("v") + 1).alias("dst")).filter(F.col("dst") < g.n)
     return index.add_edges(components.connected_components(g.vertices, g.edges), more)
 
@@ -179,13 +181,13 @@ MOD = f"""select c, sum(i) as i, sum(t) as t from (
 @query(f"""select round(sum(i::double / m - (t::double / m) * (t::double / m)), 9) as modularity
   from ({MOD}), (select sum(w) as m from {A})""")
 def modularity_fixed_partition(spark, sf_dir):
-    return metrics.modularity(strong(spark, sf_dir), by_size(spark, sf_dir))
+    return metrics.modularity(copurchases(spark, sf_dir), by_size(spark, sf_dir))
 
 
 @query(f"""select c, i::bigint as inside, t::bigint as total, round(i::double / m - (t::double / m) * (t::double / m), 9) as part
   from ({MOD}), (select sum(w) as m from {A})""")
 def modularity_per_community(spark, sf_dir):
-    sums = metrics.community_sums(strong(spark, sf_dir), by_size(spark, sf_dir))
+    sums = metrics.community_sums(copurchases(spark, sf_dir), by_size(spark, sf_dir))
     return sums.select("c", "inside", "total", F.round("part", 9).alias("part"))
 
 
@@ -228,7 +230,7 @@ def community_count(spark, sf_dir):
 
 @query(f"select least(x.c, y.c) as src, greatest(x.c, y.c) as dst, sum(w)::bigint as w from {E} e join {P} x on x.v = src join {P} y on y.v = dst group by all")
 def coarsen_partition(spark, sf_dir):
-    return moves.coarsen(strong(spark, sf_dir).edges, by_size(spark, sf_dir))
+    return moves.coarsen(copurchases(spark, sf_dir).edges, by_size(spark, sf_dir))
 
 
 @query(f"select v, id as c from {P} join (select c, row_number() over (order by min(v)) - 1 as id from {P} group by c) using (c)")
@@ -238,7 +240,7 @@ def renumber_canonical(spark, sf_dir):
 
 @query(f"select src as v, c, sum(w)::bigint as k_in from {A} a join {P} p on p.v = a.dst where src <> dst group by all")
 def neighbor_community_weights(spark, sf_dir):
-    return moves.neighbor_weights(strong(spark, sf_dir).adj, by_size(spark, sf_dir))
+    return moves.neighbor_weights(copurchases(spark, sf_dir).adj, by_size(spark, sf_dir))
 
 
 def gains_sql(p: str, a: str = "a", k: str = "k") -> str:
@@ -261,12 +263,12 @@ def best_sql(p: str) -> str:
 
 @query(f"with {AK} {gains_sql('p0')}")
 def move_gains(spark, sf_dir):
-    return moves.move_gains(strong(spark, sf_dir).adj, by_size(spark, sf_dir))
+    return moves.move_gains(copurchases(spark, sf_dir).adj, by_size(spark, sf_dir))
 
 
 @query(f"with {AK} {best_sql('p0')}")
 def best_move(spark, sf_dir):
-    return moves.best_moves(moves.move_gains(strong(spark, sf_dir).adj, by_size(spark, sf_dir)))
+    return moves.best_moves(moves.move_gains(copurchases(spark, sf_dir).adj, by_size(spark, sf_dir)))
 
 
 def rounds_sql() -> str:
@@ -280,7 +282,7 @@ def rounds_sql() -> str:
 
 @query(rounds_sql())
 def local_move_k_rounds(spark, sf_dir):
-    adj, now = strong(spark, sf_dir).adj, by_size(spark, sf_dir)
+    adj, now = copurchases(spark, sf_dir).adj, by_size(spark, sf_dir)
     for turn in range(ROUNDS):
         now = moves.move_round(adj, now, turn, PARTS)
     return now
@@ -293,12 +295,12 @@ r(v, root) using key (v) as (select v, v from {P}
 
 @query(f"with {PIECES} select v, dense_rank() over (order by root) - 1 as c from r")
 def enforce_connectivity(spark, sf_dir):
-    return moves.enforce_connectivity(strong(spark, sf_dir), by_size(spark, sf_dir))
+    return moves.enforce_connectivity(copurchases(spark, sf_dir), by_size(spark, sf_dir))
 
 
 @query(f"with {PIECES} select count(*) as splits from (select c from r join {P} p using (v) group by c having count(distinct root) > 1)")
 def connectivity_splits(spark, sf_dir):
-    return moves.connectivity_splits(strong(spark, sf_dir), by_size(spark, sf_dir))
+    return moves.connectivity_splits(copurchases(spark, sf_dir), by_size(spark, sf_dir))
 
 
 @query(f"""with {AK}, t as (select c, sum(k) as total from p0 join k using (v) group by c),
@@ -306,7 +308,7 @@ def connectivity_splits(spark, sf_dir):
   select k.v, coalesce(e.e, 0)::double * (select sum(k) from k) >= 0.05::double * k * (total - k) as ok
   from k join p0 using (v) join t using (c) left join e on e.v = k.v""")
 def refine_wellconnected_vertices(spark, sf_dir):
-    return moves.well_connected_vertices(strong(spark, sf_dir), by_size(spark, sf_dir))
+    return moves.well_connected_vertices(copurchases(spark, sf_dir), by_size(spark, sf_dir))
 
 
 @query(f"""with {AK}, q as (select v, c as p, c * 4 + v % 4 as r from p0),
@@ -317,7 +319,7 @@ def refine_wellconnected_vertices(spark, sf_dir):
 def refine_wellconnected_subcommunities(spark, sf_dir):
     parents = by_size(spark, sf_dir)
     parts = parents.select("v", (F.col("c") * 4 + F.col("v") % 4).alias("c"))
-    return moves.well_connected_subcommunities(strong(spark, sf_dir), parents, parts)
+    return moves.well_connected_subcommunities(copurchases(spark, sf_dir), parents, parts)
 
 
 def fixed_hierarchy(spark, sf_dir):
@@ -352,7 +354,7 @@ def topo_levels(spark, sf_dir):
 @query(f"select v, c from {H} where level = 1")
 def community_at_level(spark, sf_dir):
     questions = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("v"))
-    found = index.CommunityIndex(strong(spark, sf_dir), by_size(spark, sf_dir), fixed_hierarchy(spark, sf_dir))
+    found = index.CommunityIndex(copurchases(spark, sf_dir), by_size(spark, sf_dir), fixed_hierarchy(spark, sf_dir))
     return found.community_at_level(questions, 1)
 
 
@@ -368,24 +370,96 @@ def top_communities(spark, sf_dir):
   select v, root from r""")
 def filtered_subgraph_components(spark, sf_dir):
     kept = views.table(spark, sf_dir, "part").filter("p_size <= 25").select(F.col("p_partkey").alias("v"))
-    edges = strong(spark, sf_dir).edges
+    edges = copurchases(spark, sf_dir).edges
     inner = edges.join(kept.withColumnRenamed("v", "src"), "src", "left_semi").join(kept.withColumnRenamed("v", "dst"), "dst", "left_semi")
     return components.connected_components(kept, inner)
 
 
 @query()
 def louvain_communities(spark, sf_dir):
-    return detect.last_level(detect.louvain(strong(spark, sf_dir)))
+    return detect.last_level(detect.louvain(copurchases(spark, sf_dir)))
 
 
 @query()
 def louvain_hierarchy(spark, sf_dir):
-    return detect.louvain(strong(spark, sf_dir))
+    return detect.louvain(copurchases(spark, sf_dir))
 
 
 @query()
 def leiden_communities(spark, sf_dir):
-    return detect.last_level(detect.leiden(strong(spark, sf_dir)))
+    return detect.last_level(detect.leiden(copurchases(spark, sf_dir)))
+
+
+SOUND = f"""select (select count(*) from {N}) as nodes, true as covered, true as single_parent, true as dense, 0::bigint as splits, true as better"""
+
+
+def sound(graph: Graph, hierarchy: DataFrame, other: DataFrame) -> DataFrame:
+    """One row on what every hierarchy must be: each level covers all vertices once, levels nest, labels are dense,
+    the repaired result has no splits and more modularity than ``other`` and than single vertices."""
+    n = graph.n
+    per = hierarchy.groupBy("level").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("v").alias("vs"), F.countDistinct("c").alias("cs"), F.max("c").alias("top"), F.min("c").alias("low")
+    )
+    per = per.agg(
+        F.max("vs").alias("nodes"),
+        F.min(((F.col("rows") == n) & (F.col("vs") == n)).cast("int")).alias("covered"),
+        F.min(((F.col("top") + 1 == F.col("cs")) & (F.col("low") == 0)).cast("int")).alias("dense"),
+    )
+    parents = index.parents_per_child(hierarchy).agg(F.coalesce(F.max("parents"), F.lit(1)).alias("parents"))
+    repaired = materialize(moves.enforce_connectivity(graph, detect.last_level(hierarchy)), "repaired")
+    alone = repaired.select("v", F.col("v").alias("c"))
+    score, rivals = metrics.modularity(graph, repaired), [metrics.modularity(graph, x) for x in (other, alone)]
+    out = per.join(F.broadcast(parents)).join(F.broadcast(moves.connectivity_splits(graph, repaired))).join(F.broadcast(score))
+    for i, rival in enumerate(rivals):
+        out = out.join(F.broadcast(rival.withColumnRenamed("modularity", f"m{i}")))
+    return out.select(
+        "nodes",
+        (F.col("covered") == 1).alias("covered"),
+        (F.col("parents") == 1).alias("single_parent"),
+        (F.col("dense") == 1).alias("dense"),
+        "splits",
+        (F.col("modularity") > F.greatest("m0", "m1")).alias("better"),
+    )
+
+
+@query(SOUND)
+def louvain_invariants(spark, sf_dir):
+    graph = copurchases(spark, sf_dir)
+    return sound(graph, detect.louvain(graph), by_size(spark, sf_dir))
+
+
+@query(SOUND)
+def leiden_invariants(spark, sf_dir):
+    graph = copurchases(spark, sf_dir)
+    return sound(graph, detect.leiden(graph), by_size(spark, sf_dir))
+
+
+@query(SOUND)
+def louvain_large(spark, sf_dir):
+    """The distributed rounds on every level, whatever the size."""
+    graph = copurchases(spark, sf_dir)
+    return sound(graph, detect.louvain(graph, small_edges=0), by_size(spark, sf_dir))
+
+
+@query(SOUND)
+def leiden_large(spark, sf_dir):
+    graph = copurchases(spark, sf_dir)
+    return sound(graph, detect.leiden(graph, small_edges=0), by_size(spark, sf_dir))
+
+
+BIPARTITE = """(select distinct o_custkey as src, l_suppkey + (select max(c_custkey) + 1 from customer) as dst, 1::bigint as w
+  from lineitem join orders on l_orderkey = o_orderkey)"""
+
+
+@query(f"""select src as v, count(*) as deg, sum(w)::bigint as k
+  from (select src, dst, w from {BIPARTITE} union all select dst, src, w from {BIPARTITE}) group by src""")
+def customer_supplier_degrees(spark, sf_dir):
+    return Graph(views.customer_supplier(spark, sf_dir)).vertices.filter("deg > 0").select("v", "deg", "k")
+
+
+@query(f"select count(*)::bigint as nodes, count(distinct c) as communities, (select min(n) from (select count(*) as n from {P} group by c)) as smallest, (select max(n) from (select count(*) as n from {P} group by c)) as largest from {P}")
+def community_size_summary(spark, sf_dir):
+    return edgelist.size_summary(by_size(spark, sf_dir))
 
 
 @query()
@@ -394,15 +468,18 @@ def lfr_generate(spark, sf_dir):
 
 
 @query()
-def community_report(spark, sf_dir):
-    """One row: nodes, edges, communities, splits, modularity."""
-    graph = strong(spark, sf_dir)
-    found = detect.last_level(detect.leiden(graph))
-    repaired = moves.enforce_connectivity(graph, found)
+def community_report(spark, sf_dir, least: int = 1):
+    """One row: algorithm, nodes, edges, communities, splits, modularity, and the index's answers about two vertices."""
+    graph = copurchases(spark, sf_dir, least)
+    hierarchy = detect.leiden(graph)
+    found = detect.last_level(hierarchy)
+    repaired = materialize(moves.enforce_connectivity(graph, found), "repaired")
+    demo = index.CommunityIndex(graph, repaired, hierarchy).demo()
     return (
         graph.summary()
-        .select("nodes", "edges")
+        .select(F.lit("leiden").alias("algo"), "nodes", "edges")
         .join(F.broadcast(repaired.agg(F.countDistinct("c").alias("communities"))))
         .join(F.broadcast(moves.connectivity_splits(graph, found)))
         .join(F.broadcast(metrics.modularity(graph, repaired)))
+        .join(F.broadcast(demo), F.lit(True), "left")
     )

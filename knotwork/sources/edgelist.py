@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 SPACE = r"\s+"
 _ID = r"^[0-9]{1,18}$"
 
@@ -47,20 +49,38 @@ def parse_edge_lines_raw(lines: DataFrame) -> DataFrame:
 def remap_ids(edges: DataFrame, src: str = "src", dst: str = "dst") -> tuple[DataFrame, DataFrame]:
     """Dense ids in order of the original ones: (``src, dst, w``), (``name, id``).
 
-    Ranks come from range partitions: a count per partition, then a rank within.
+    Ranks come from range partitions: a count per partition, then the place within;
+    what is broadcast has one row a partition.
     """
     names = edges.select(F.col(src).alias("name")).union(edges.select(F.col(dst).alias("name"))).distinct()
-    schema = f"name {dict(names.dtypes)['name']}, id long"
-    ranked = names.sort("name").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    ids = names.sparkSession.createDataFrame(ranked, schema)
+    # stored, since a second run of the range partitioning could draw other bounds
+    sorted_names = materialize(names.sort("name").withColumn("m", F.monotonically_increasing_id()), "names")
+    part = F.shiftright("m", 33)
+    sizes = sorted_names.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    inside = F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+    ids = sorted_names.withColumn("part", part).join(F.broadcast(before), "part").select("name", (F.col("base") + inside).alias("id"))
     a = ids.select(F.col("name").alias("_a"), F.col("id").alias("_s"))
     b = ids.select(F.col("name").alias("_b"), F.col("id").alias("_d"))
     mapped = edges.join(a, edges[src] == a["_a"]).join(b, edges[dst] == b["_b"])
     return mapped.select(F.col("_s").alias("src"), F.col("_d").alias("dst"), "w"), ids
 
 
-def write_edges(edges: DataFrame, path: str) -> None:
-    edges.select(F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string")).alias("value")).write.text(path)
+def write_edges(edges: DataFrame, path: str, weighted: bool = False) -> None:
+    """Lines ``src dst`` or, with their weights, ``src dst w``."""
+    columns = ["src", "dst", "w"] if weighted else ["src", "dst"]
+    edges.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]).alias("value")).write.text(path)
+
+
+def size_summary(truth: DataFrame) -> DataFrame:
+    """``nodes, communities, smallest, largest`` of a partition; one row."""
+    sizes = truth.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"),
+        F.count(F.lit(1)).alias("communities"),
+        F.min("n").alias("smallest"),
+        F.max("n").alias("largest"),
+    )
 
 
 def write_truth(partition: DataFrame, path: str) -> None:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import hashed, sum_before, unit
 
-def _unit(*parts):
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)).cast("double") / float(1 << 40)
+#: Stubs that a bucket of those sent out of their communities holds, about.
+MIXED = 1 << 16
 
 
 def planted_partition(
@@ -16,8 +19,8 @@ def planted_partition(
     """Edges and truth (``c = v % k``): each vertex draws degree/2 partners, inside with probability 1 - mu."""
     draws = int(degree / 2 + 0.5)
     rows = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i"))
-    out = _unit("src", "i", F.lit(seed)) < mu
-    pick = _unit("src", "i", F.lit(seed + 1))
+    out = unit(F.col("src"), F.col("i"), seed=seed) < mu
+    pick = unit(F.col("src"), F.col("i"), seed=seed + 1)
     anyone = F.floor(pick * n)
     inside = F.floor(pick * (n // k)) * k + F.pmod("src", F.lit(k))
     edges = rows.select("src", F.when(out, anyone).otherwise(inside).cast("long").alias("dst"), F.lit(1.0).alias("w"))
@@ -37,35 +40,50 @@ def lfr_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """Power-law degrees and community sizes; stubs are paired within communities and globally.
 
-    Sizes come from the inverse distribution by rank, degrees from a hash; stubs
-    are put in hashed order per community (or overall) and neighbours are joined.
+    Sizes come from the inverse distribution by a hash of the rank; degrees are its
+    quantiles, dealt to vertices by a multiplication modulo ``n``; the least degree
+    is solved so that the mean of the capped degrees is ``avg_degree``. A vertex
+    sends so many stubs out that the share ``mu`` leaves its community. Stubs are put in hashed order per community (or, for those sent out, per
+    bucket of about ``MIXED`` stubs) and neighbours are joined; pairs of one
+    vertex with itself then swap ends among themselves. All steps are tables.
     """
     most = max(min_community + 1, n // 5)
-    sizes, left, i = [], n, 0
-    while left > 0:  # the list of communities, a small planning object
-        u = ((i * 2654435761 + seed) % 4294967296) / 4294967296
-        a, b = min_community ** (1 - tau2), most ** (1 - tau2)
-        size = int((a + u * (b - a)) ** (1 / (1 - tau2)))
-        size = left if left - size < min_community else size
-        sizes.append(size)
-        left -= size
-        i += 1
-    ends, total = [], 0
-    for size in sizes:
-        total += size
-        ends.append(total)
-    bounds = F.array(*[F.lit(e) for e in ends])
-    truth = spark.range(n).select(
-        F.col("id").alias("v"), F.size(F.filter(bounds, lambda e: e <= F.col("id"))).cast("long").alias("c")
-    )
-    low = avg_degree * (tau1 - 2) / (tau1 - 1)
-    degree = F.least(F.lit(max(1, n // 10)), F.greatest(F.lit(1), F.round(low * (1 - _unit("v", F.lit(seed))) ** (-1 / (tau1 - 1)))))
-    stubs = truth.withColumn("k", degree.cast("int")).select("v", "c", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("i"))
-    stubs = stubs.select("v", F.when(_unit("v", "i", F.lit(seed + 2)) < mu, -1 - F.pmod(F.xxhash64("v", "i"), F.lit(64))).otherwise(F.col("c")).alias("g"), "i")
-    from pyspark.sql import Window
+    a, b = min_community ** (1 - tau2), most ** (1 - tau2)
+    ranks = spark.range(max(1, n // min_community)).withColumnRenamed("id", "i")
+    size = F.floor(F.pow(F.lit(a) + unit(F.col("i"), seed=seed) * F.lit(b - a), F.lit(1 / (1 - tau2)))).cast("long")
+    drawn = sum_before(ranks.withColumn("size", size), "i", F.col("size"), "start").filter(F.col("start") < n)
+    left = F.lit(n) - F.col("start")  # what remains after the last whole community joins it
+    drawn = drawn.withColumn("size", F.least("size", left)).withColumn("last", F.col("start") + F.col("size") >= n)
+    short = drawn.filter(F.col("last") & (F.col("size") < min_community) & (F.col("i") > 0)).select((F.col("i") - 1).alias("i"), F.col("size").alias("more"))
+    whole = drawn.join(short.select((F.col("i") + 1).alias("i")), "i", "left_anti").join(short, "i", "left")
+    whole = whole.withColumn("size", F.col("size") + F.coalesce("more", F.lit(0)))
+    members = F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("v")
+    truth = whole.select(members, F.col("i").alias("c"), (mu / (1 - F.col("size") / n)).alias("away"))
+    turn = next(x for x in range(int(n * 0.618) + 1, 2 * n + 2) if math.gcd(x, n) == 1)
+    low, cap = least_degree(avg_degree, tau1, max(1, n // 10)), max(1, n // 10)
+    exact = F.least(F.lit(float(cap)), F.lit(low) * F.pow((F.pmod(F.col("v") * turn + seed, F.lit(n)) + 0.5) / n, F.lit(-1 / (tau1 - 1))))
+    degree = F.floor(exact + unit(F.col("v"), seed=seed + 4)).cast("int")  # rounded at random, so the mean stays
+    buckets = max(1, int(n * avg_degree * mu) // MIXED)
+    stubs = truth.withColumn("k", degree).filter("k > 0").select("v", "c", "away", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("i"))
+    out = unit(F.col("v"), F.col("i"), seed=seed + 2) < F.col("away")
+    stubs = stubs.select("v", F.when(out, -1 - hashed(F.col("v"), F.col("i"), seed=seed + 5) % buckets).otherwise(F.col("c")).alias("g"), "i")
+    order = Window.partitionBy("g").orderBy(hashed(F.col("v"), F.col("i"), seed=seed + 3), "v", "i")
+    placed = stubs.withColumn("place", F.row_number().over(order)).withColumn("dst", F.lead("v").over(order))
+    pairs = placed.filter("place % 2 = 1 and dst is not null").select("g", "place", F.col("v").alias("src"), "dst")
+    alone = pairs.filter("src = dst")
+    near = Window.partitionBy("g").orderBy("place")
+    first = F.first("dst").over(near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    swapped = alone.select("src", F.coalesce(F.lead("dst").over(near), first).alias("dst"))
+    edges = pairs.filter("src <> dst").select("src", "dst").unionByName(swapped.filter("src <> dst"))
+    return edges.select("src", "dst", F.lit(1.0).alias("w")), truth.select("v", "c")
+
 
-    place = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("v", "i", F.lit(seed + 3))))
-    numbered = stubs.select("v", "g", F.floor((place - 1) / 2).alias("pair"), F.pmod(place, F.lit(2)).alias("end"))
-    a = numbered.filter("end = 1").select("g", "pair", F.col("v").alias("src"))
-    b = numbered.filter("end = 0").select("g", "pair", F.col("v").alias("dst"))
-    return a.join(b, ["g", "pair"]).filter("src <> dst").select("src", "dst", F.lit(1.0).alias("w")), truth
+def least_degree(mean: float, tau: float, cap: float) -> float:
+    """The least value of a power law of exponent ``tau`` whose values, capped, have the given mean."""
+    a = tau - 1
+    low, high = 0.0, min(mean, cap)
+    for _ in range(100):
+        middle = (low + high) / 2
+        got = middle * (a - (middle / cap) ** (a - 1)) / (a - 1)
+        low, high = (middle, high) if got < mean else (low, middle)
+    return high

@@ -39,7 +39,7 @@ def part_copurchase(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFra
 COPURCHASE_SQL = """(select a.l_partkey as src, b.l_partkey as dst, count(*) as w
   from (select distinct l_orderkey, l_partkey from lineitem) a
   join (select distinct l_orderkey, l_partkey from lineitem) b
-    on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey group by all having count(*) >= 2)"""
+    on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey group by all)"""
 
 
 def customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
