@@ -434,17 +434,27 @@ def leiden_invariants(spark, sf_dir):
     return sound(graph, detect.leiden(graph), by_size(spark, sf_dir))
 
 
-@query(SOUND)
-def louvain_large(spark, sf_dir):
+USERS = f"(select unnest(range(0, (select max(greatest(src, dst)) + 1 from {views.SUCCESSION_SQL}))) as v)"
+ROUNDS_SOUND = SOUND.replace(N, USERS)
+
+
+def successions(spark, sf_dir) -> tuple[Graph, DataFrame]:
+    graph = Graph(materialize(views.event_succession(spark, sf_dir), "successions"))
+    return graph, graph.vertices.select("v", (F.col("v") % 8).alias("c"))
+
+
+@query(ROUNDS_SOUND)
+def louvain_rounds(spark, sf_dir):
     """The distributed rounds on every level, whatever the size."""
-    graph = copurchases(spark, sf_dir)
-    return sound(graph, detect.louvain(graph, small_edges=0), by_size(spark, sf_dir))
+    graph, other = successions(spark, sf_dir)
+    return sound(graph, detect.louvain(graph, small_edges=0), other)
 
 
-@query(SOUND)
-def leiden_large(spark, sf_dir):
-    graph = copurchases(spark, sf_dir)
-    return sound(graph, detect.leiden(graph, small_edges=0), by_size(spark, sf_dir))
+@query(ROUNDS_SOUND)
+def leiden_rounds(spark, sf_dir):
+    """The distributed rounds and refinement on every level, whatever the size."""
+    graph, other = successions(spark, sf_dir)
+    return sound(graph, detect.leiden(graph, small_edges=0), other)
 
 
 BIPARTITE = """(select distinct o_custkey as src, l_suppkey + (select max(c_custkey) + 1 from customer) as dst, 1::bigint as w
