@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_mod, lean, packed
+from .common import crc32_mod, give_back, lean, packed
 from .decontaminate import parts_by_bytes
 
 #: Letters whose features are held at a time; bytes of text labelled at a time.
@@ -266,6 +266,8 @@ def train(
     common = Counter(w for words, _ in docs for w in words if has_letter(w))
     model = Crf(labels, [w for w, n in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:lexicon_size] if n > 1])
     model.fit(docs, epochs, 0.05, 1e-4, seed)
+    del sample, docs, common
+    give_back()
     return model
 
 
