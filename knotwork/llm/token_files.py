@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import io
 import json
-import re
 import struct
 import zlib
 from array import array
@@ -23,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark import TaskContext
@@ -40,7 +40,6 @@ MAGIC = b"RTOK0001"
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text encoded at a time.
 PIECE = 4 << 20
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def piece_pattern(definition: str) -> regex.Pattern | None:
@@ -64,106 +63,135 @@ def piece_pattern(definition: str) -> regex.Pattern | None:
     return regex.compile(split["pattern"]["Regex"])
 
 
-class WordTokenizer:
-    """Encodes texts word by word with a bounded memory of words.
+class Pieces(dict):
+    """A bounded memory of the ids of pieces, as bytes; the library's model is asked for new ones.
+
+    It has a young and an old half; what a full young half replaces is
+    forgotten, unless it was met again meanwhile.
+    """
+
+    def __init__(self, model, code: str, most: int):
+        super().__init__()
+        self.tokenize, self.code, self.most = model.tokenize, code, most
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(256) if c != 32}
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        coded = self.old.pop(piece, None)
+        if coded is None:
+            shown = piece if piece.isalnum() and piece.isascii() else piece.translate(self.bytes)
+            coded = array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+        self[piece] = coded
+        return coded
 
-    Words are kept in a young and an old half; what a full young half replaces
-    is forgotten, unless it was met again meanwhile.
+    def age(self) -> None:
+        if len(self) > self.most // 2:
+            self.old = dict(self)
+            self.clear()
+
+
+class WordTokenizer:
+    """Encodes texts by their different words, with a bounded memory.
 
     Right for tokenizers whose normaliser and pre-tokenizer never act across
-    white space and drop it (``splits_at_space``); others, and texts that hold a
-    special token's string, are encoded whole.
+    ASCII white space and drop it (``splits_at_space``); others, and texts that
+    hold a special token's string, are encoded whole.
     """
 
-    def __init__(self, definition: str, splits_at_space: bool = True, most_words: int = 300_000):
+    def __init__(self, definition: str, splits_at_space: bool = True, most_pieces: int = 300_000):
         self.tokenizer = Tokenizer.from_str(definition)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.code = "H" if self.size <= 1 << 16 else "I"
-        self.pieces = piece_pattern(definition)
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(256) if c != 32}
-        self.splits, self.most = splits_at_space, most_words
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Encode new words: Latin-1 ones piece by piece with the library's model alone, others by its whole chain."""
-        kind = self.type
-        if self.pieces is None:
-            plain, rest = [], words
-        else:
-            plain = [w for w in words if w.isascii() or max(w) <= "\xff"]
-            rest = [w for w in words if not w.isascii() and max(w) > "\xff"] if len(plain) < len(words) else []
-        ids: dict[str, bytes] = {}
-        model, find, table = self.tokenizer.model.tokenize, self.pieces and self.pieces.findall, self.bytes
-        for word in plain:
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pattern = piece_pattern(definition)
+        self.splits = splits_at_space
+        self.known = Pieces(self.tokenizer.model, "H" if self.size <= 1 << 16 else "I", most_pieces)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word: Latin-1 ones piece by piece with the library's model alone, others by its whole chain."""
+        self.known.age()
+        known, find, out, rest = self.known, self.pattern and self.pattern.findall, [], []
+        for word in words:
+            if find is None or not (word.isascii() or max(word) <= "\xff"):
+                if word not in known and word in known.old:
+                    known[word] = known.old[word]
+                if word and word not in known:
+                    rest.append(len(out))
+                out.append(known.get(word, b""))
+                continue
             low = word.lower()
             if low.isalpha():
-                parts = (low,)
-            elif low[-1] in ".,:;" and low[:-1].isalpha():
-                parts = (low[:-1], low[-1])
+                out.append(known[low])
+            elif low[-1:] in PLAIN_ENDS and low[:-1].isalpha():
+                out.append(known[low[:-1]] + known[low[-1]])
             else:
-                parts = find(low)
-            out = b""
-            for piece in parts:
-                coded = ids.get(piece)
-                if coded is None:
-                    shown = piece if piece.isalnum() and piece.isascii() else piece.translate(table)
-                    coded = ids[piece] = array(self.code, [t.id for t in model(shown)]).tobytes()
-                out += coded
-            self.known[word] = out
+                out.append(b"".join([known[piece] for piece in find(low)]))
         for start in range(0, len(rest), 10_000):
             part = rest[start : start + 10_000]
-            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(part, coded))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian integers."""
-        if not self.splits or self.special is None:
-            return [self.whole(t or "") for t in texts]
-        cut = [(_SPACE.split(t) if any(c in t for c in _NO_SPACE) else t.split()) if t else [] for t in texts]
-        special = {i for i, t in enumerate(texts) if t and "|" in t and self.special.search(t)}
-        for i in special:
-            cut[i] = []
-        here = set().union(*cut)
-        if len(self.known) > self.most // 2:
-            self.known, self.old = {}, self.known
-        new = here - self.known.keys()
-        met = new & self.old.keys()
-        self.known.update((w, self.old[w]) for w in met)
-        self.learn(list(new - met))
-        get = self.known.__getitem__
-        return [self.whole(texts[i]) if i in special else b"".join(map(get, words)) for i, words in enumerate(cut)]
-
-
-#: str.split cuts at these, though tokenizers don't take them for white space.
-_NO_SPACE = "\x1c\x1d\x1e\x1f"
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
+                out[i] = known[words[i]] = np.array(e.ids, self.type).tobytes()
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another with the end id behind each, and how many each text has."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        alone = np.full(len(texts), not self.splits)
+        for content in self.special:
+            alone |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        cut = pc.ascii_split_whitespace(pc.if_else(pa.array(~alone), texts, ""))
+        coded = cut.flatten().dictionary_encode()
+        different = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        found = self.words(pc.binary_join(different, pa.scalar("\n", coded.dictionary.type))[0].as_py().split("\n"))
+        apart = [np.append(self.whole(texts[i].as_py()), self.type.type(end_id)) for i in np.flatnonzero(alone).tolist()]
+        kinds = [np.frombuffer(b"".join(found), self.type), np.array([end_id], self.type), *apart]
+        sizes = np.array([len(x) // self.type.itemsize for x in found] + [1] + [len(x) for x in apart], np.int64)
+        starts, ids = np.cumsum(sizes) - sizes, np.concatenate(kinds)
+        counts = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(counts + 1) - 1
+        pick = np.empty(len(coded) + len(texts), np.int64)
+        last = np.zeros(len(pick), bool)
+        last[ends] = True
+        pick[~last] = coded.indices.to_numpy()
+        pick[last] = len(found)
+        pick[ends[alone]] = len(found) + 1 + np.arange(len(apart))
+        taken = sizes[pick]
+        upto = np.cumsum(taken)
+        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts[pick] - (upto - taken), taken)
+        return ids[at], np.diff(upto[ends], prepend=0)
+
+
+#: Marks that the usual pattern makes a piece of their own after letters, whatever it is.
+PLAIN_ENDS = (".", ",", ":", ";")
+_workers: dict[int, WordTokenizer] = {}
+
+
+def worker_tokenizer(definition: str, splits_at_space: bool) -> WordTokenizer:
+    """The tokenizer of this worker; the next task with the same definition finds its memory warm."""
+    key = hash((definition, splits_at_space))
+    if key not in _workers:
+        _workers.clear()
+        _workers[key] = WordTokenizer(definition, splits_at_space)
+    return _workers[key]
+
 
 def tokenize(rows: DataFrame, definition: str, end_id: int, splits_at_space: bool = True) -> DataFrame:
     """``id, body`` to ``part, id, ids``: ids as bytes with the end id; part is the task's number."""
     shared = rows.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(shared.value, splits_at_space)
-        end = np.array([end_id], tokenizer.type).tobytes()
+        tokenizer = worker_tokenizer(shared.value, splits_at_space)
         part = TaskContext.get().partitionId()
         for whole in batches:
             for start, n in parts_by_bytes(whole.column("body"), PIECE):
                 batch = whole.slice(start, n)
-                ids = [x + end for x in tokenizer.encode(batch.column("body").to_pylist())]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "part": pa.array(np.full(len(batch), part), pa.int64()),
-                        "id": batch.column("id"),
-                        "ids": pa.array(ids, pa.binary()),
-                    }
-                )
+                ids, counts = tokenizer.encode(batch.column("body"), end_id)
+                places = np.append(0, np.cumsum(counts)) * ids.itemsize
+                cells = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(places), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(n, part), pa.int64()), "id": batch.column("id"), "ids": cells})
 
     return rows.mapInArrow(lean(run), "part long, id long, ids binary")
 
