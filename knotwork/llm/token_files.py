@@ -38,8 +38,9 @@ from .rans import BLOCK_TOKENS, FrequencyTable, decode_block, encode_block
 
 MAGIC = b"RTOK0001"
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-#: Bytes of text encoded at a time.
+#: Bytes of text encoded at a time, and the longest piece that is remembered.
 PIECE = 4 << 20
+LONGEST = 64
 
 
 def piece_pattern(definition: str) -> regex.Pattern | None:
@@ -67,7 +68,7 @@ class Pieces(dict):
     """A bounded memory of the ids of pieces, as bytes; the library's model is asked for new ones.
 
     It has a young and an old half; what a full young half replaces is
-    forgotten, unless it was met again meanwhile.
+    forgotten, unless it was met again meanwhile. Long pieces are not kept.
     """
 
     def __init__(self, model, code: str, most: int):
@@ -82,7 +83,8 @@ class Pieces(dict):
         if coded is None:
             shown = piece if piece.isalnum() and piece.isascii() else piece.translate(self.bytes)
             coded = array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
-        self[piece] = coded
+        if len(piece) <= LONGEST:
+            self[piece] = coded
         return coded
 
     def age(self) -> None:
@@ -133,7 +135,9 @@ class WordTokenizer:
         for start in range(0, len(rest), 10_000):
             part = rest[start : start + 10_000]
             for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
-                out[i] = known[words[i]] = np.array(e.ids, self.type).tobytes()
+                out[i] = np.array(e.ids, self.type).tobytes()
+                if len(words[i]) <= LONGEST:
+                    known[words[i]] = out[i]
         return out
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:

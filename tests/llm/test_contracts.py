@@ -1,6 +1,7 @@
 """Queries without SQL against brute force over whole test tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from knotwork.llm import language_id, neural_lm, queries, secret_scan
+from knotwork.llm import language_id, neural_lm, queries, secret_scan, token_files
 
 SF = "/root/testdata/sf0.001"
 BASE = {
@@ -63,6 +64,28 @@ def test_token_files_against_the_library(spark, texts):
         start += len(ids)
 
 
+ODD = [
+    None, "", " ", "a b\x85c\x1cd\x1fe\vx\fy\rz\n\n", "it's <|endoftext|> here", "x<|startoftext|>", ". , ;",
+    "\u0130stanbul \u03a3\u03a3 A\u0301", "\u3000\u4e2d\u6587 x", "long" * 50_000, "\u4e2d\u6587" * 20_000, "a.b, 12,5; \u00c9\u00df\u00aa",
+]
+
+
+@pytest.mark.parametrize("splits, most", [(True, 300_000), (True, 20), (False, 300_000)])
+def test_word_tokenizer_against_the_library(splits, most):
+    """Any Latin-1 character, marks, special tokens, other scripts, long words; a memory that forgets at once."""
+    definition = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    library, draw = Tokenizer.from_str(definition), random.Random(3)
+    signs = [chr(c) for c in range(256)] + list("'stmdlre.,:; \n\t") * 4 + list("\u0130\u03a3\u0301\u4e2d\u2003\u200b")
+    texts = ODD + ["".join(draw.choice(signs) for _ in range(draw.randint(0, 60))) for _ in range(3000)]
+    words = token_files.WordTokenizer(definition, splits, most)
+    for part in (texts[:1000], texts[1000:], texts[:1000], []):
+        ids, counts = words.encode(pa.array(part, pa.string()), 1)
+        want = [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in part]
+        assert counts.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
+    assert all(len(piece) <= token_files.LONGEST for piece in words.known)
+
+
 def tokens_of(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return [*re.findall(r"[^\x20\x09-\x0D]+", low), None]
