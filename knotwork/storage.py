@@ -18,7 +18,8 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder of the session; local sessions without one get a default."""
     root = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError(f"{KEY} must name a folder that all executors share")
         root = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     return root.rstrip("/")
