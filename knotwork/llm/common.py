@@ -47,7 +47,8 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def packed(df: DataFrame, leave: tuple[str, ...] = ()) -> Column:
     """All columns of ``df`` but those in ``leave`` as one struct, so that none can clash with a column made here."""
-    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in leave])
+    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() not in leave]
+    return F.struct(*(columns or [F.lit(0).alias("_none")]))
 
 
 def crc32_mod(doc_id: str | Column, n: int) -> Column:

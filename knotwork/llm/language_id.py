@@ -329,7 +329,9 @@ def identify(
     results = ("lang_pred", "score", "lang_spans")
     carry = [c for c in (df.columns if carry is None else carry) if c.lower() not in results]
     inner = [f"c{i}" for i in range(len(carry))]
-    rows = df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(carry, inner)], F.col(text).alias("_body"))
+    carried = text in carry  # then the text goes to the workers once
+    body = inner[carry.index(text)] if carried else "_body"
+    rows = df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(carry, inner)], *[F.col(text).alias(body)] * (not carried))
     shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
 
@@ -337,9 +339,9 @@ def identify(
         crf = pickle.loads(shared.value)
         labeller = crf and Labeller(crf)
         for whole in batches:
-            for start, n in parts_by_bytes(whole.column("_body"), PIECE):
+            for start, n in parts_by_bytes(whole.column(body), PIECE):
                 part = whole.slice(start, n)
-                docs = [words_of(t) for t in part.column("_body").to_pylist()]
+                docs = [words_of(t) for t in part.column(body).to_pylist()]
                 preds, scores, runs = ["und"] * n, [0.0] * n, [[] for _ in range(n)]
                 if labeller:
                     probs, letters = labeller.marginals(docs)
@@ -378,6 +380,7 @@ def keep_known(df: DataFrame, model: Crf | None, text: str = "text", least: floa
     languages that the first has a mean marginal below ``least``. Repeated rows
     share their fate; columns may have any name; an empty table stays empty.
     """
-    rows = df.select(packed(df).alias("_row"), F.col(text).alias("_text"))
-    found = identify(rows, model, "_text", carry=["_row"])
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
+    rows = df.select(packed(df, (text.lower(),)).alias("_row"), F.col(text).alias("_text"))
+    found = identify(rows, model, "_text", carry=["_row", "_text"])
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return kept.select(*[F.col("_text").alias(c) if c.lower() == text.lower() else F.col(f"_row.`{c}`") for c in df.columns])
