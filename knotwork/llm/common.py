@@ -65,8 +65,29 @@ def give_back() -> None:
         trim(0)
 
 
-def lean(run: Callable) -> Callable:
-    """A mapInArrow function that returns freed memory after every ``STEP`` bytes of input and at its end."""
+#: What a worker keeps from one task to the next, by owner.
+_kept: dict[str, object] = {}
+
+
+def kept(owner: str, make: Callable):
+    """What this worker keeps for ``owner``, made at first use; a ``lean`` function of no or another owner drops it."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def drop_kept(owner: str | None = None) -> None:
+    """Drop what this worker keeps for others than ``owner``."""
+    for other in _kept.keys() - {owner}:
+        del _kept[other]
+
+
+def lean(run: Callable, owner: str | None = None) -> Callable:
+    """A mapInArrow function that returns freed memory after every ``STEP`` bytes of input and at its end.
+
+    Workers serve one operator after another, so what they keep for others than ``owner`` is dropped first.
+    """
 
     def watched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = 0
@@ -79,6 +100,7 @@ def lean(run: Callable) -> Callable:
                 seen = 0
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept(owner)
         try:
             yield from run(watched(batches))
         finally:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from ..storage import discard, make_folder, materialize_at, new_folder
-from .common import lean
+from .common import kept, lean
 from .decontaminate import parts_by_bytes
 from .files import open_input, open_output, task_file
 from .rans import BLOCK_TOKENS, FrequencyTable, decode_block, encode_block
@@ -39,7 +39,7 @@ from .rans import BLOCK_TOKENS, FrequencyTable, decode_block, encode_block
 MAGIC = b"RTOK0001"
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text encoded at a time, and the longest piece that is remembered.
-PIECE = 4 << 20
+PIECE = 2 << 20
 LONGEST = 64
 
 
@@ -170,16 +170,15 @@ class WordTokenizer:
 
 #: Marks that the usual pattern makes a piece of their own after letters, whatever it is.
 PLAIN_ENDS = (".", ",", ":", ";")
-_workers: dict[int, WordTokenizer] = {}
+
+
+def owner_of(definition: str, splits_at_space: bool) -> str:
+    return f"tokens {zlib.crc32(definition.encode())} {splits_at_space}"
 
 
 def worker_tokenizer(definition: str, splits_at_space: bool) -> WordTokenizer:
     """The tokenizer of this worker; the next task with the same definition finds its memory warm."""
-    key = hash((definition, splits_at_space))
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = WordTokenizer(definition, splits_at_space)
-    return _workers[key]
+    return kept(owner_of(definition, splits_at_space), lambda: WordTokenizer(definition, splits_at_space))
 
 
 def tokenize(rows: DataFrame, definition: str, end_id: int, splits_at_space: bool = True) -> DataFrame:
@@ -197,7 +196,7 @@ def tokenize(rows: DataFrame, definition: str, end_id: int, splits_at_space: boo
                 cells = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(places), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(n, part), pa.int64()), "id": batch.column("id"), "ids": cells})
 
-    return rows.mapInArrow(lean(run), "part long, id long, ids binary")
+    return rows.mapInArrow(lean(run, owner_of(definition, splits_at_space)), "part long, id long, ids binary")
 
 
 def count_ids(tokens: DataFrame, size: int, kind: str) -> np.ndarray:

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -151,3 +152,37 @@ def test_windows_that_share_a_hash(monkeypatch):
     got = decontaminate.WindowSet(rows, 2).scan([text, []])
     assert got[0].tolist() == want[0].tolist() == [False, True, True, True, True, False]
     assert got[3] == want[3] == {0: {"a", "b", "c", "d"}}
+
+
+def test_workers_drop_what_other_operators_kept(spark):
+    from knotwork.llm import common
+
+    def keeps(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([common.kept("a", list) is common.kept("a", list)])})
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([not common._kept])})
+
+    one = spark.range(1, numPartitions=1)
+    for run, owner in ((keeps, "a"), (held, None)):
+        assert one.mapInArrow(common.lean(run, owner), "n boolean").first().n
+    common.kept("a", list).append(1)
+    common.drop_kept("a")
+    assert common.kept("a", list) == [1]
+    common.drop_kept()
+    assert common.kept("a", list) == []
+
+
+def test_language_stage_keeps_text_alone_and_in_place(spark):
+    from knotwork.llm import language_id
+
+    docs = [(i, t, l) for i, (t, l) in enumerate([("the cat sat on the mat", "en"), ("der hund und die katze", "de")] * 20)]
+    df = spark.createDataFrame(docs + [(99, None, "en")], "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    kept = language_id.keep_known(df, model)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(range(40))
+    assert {tuple(r) for r in kept.collect()} == set(docs)
+    assert language_id.keep_known(df.select("text"), model).columns == ["text"]
+    assert language_id.keep_known(df.select("text"), model).count() == 40
