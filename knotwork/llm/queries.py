@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, neural_lm, ngram_join, secret_scan, token_files, warc
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, neural_lm, ngram_join, secret_scan, token_files, vector_codes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -191,6 +191,43 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest, frequencies)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    digits = F.lower(F.hex("code")).alias("code")
+    out = vector_codes.with_label_error(coded).select("vec_id", digits, "error", "label_error")
+    return out.withColumn("codebooks_sha256", F.lit(books.sha256()))
+
+
+def _op11_sql(rounds: int = 2) -> str:
+    steps = [
+        """kept as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as c from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        """parts as materialized (
+  select vec_id, p::bigint as p, c[p * (len(c) // 16) + 1:(p + 1) * (len(c) // 16)] as x from kept, range(16) t(p))""",
+        """b0 as (
+  select p, e, x from parts
+  join (select vec_id, row_number() over (order by vec_id) - 1 as e from kept order by vec_id limit 64) using (vec_id))""",
+    ]
+    for r in range(rounds + 1):
+        square = "list_sum(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - b.x[i]) * (q.x[i] - b.x[i])))"
+        steps.append(f"""a{r} as materialized (
+  select vec_id, p, any_value(q.x) as x, min({square}::bigint * 64 + e) as m from parts q join b{r} b using (p) group by vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""s{r} as (
+  select p, m % 64 as e, i, sum(x[i])::bigint as s, count(*) as n from a{r}, range(1, (select max(len(x)) + 1 from parts)) t(i) group by all)""")
+            steps.append(f"""b{r + 1} as materialized (
+  select b.p, b.e, coalesce(f.x, b.x) as x from b{r} b left join (
+    select p, e, list((s - ((s % n) + n) % n) // n order by i) as x from s{r} group by p, e) f on f.p = b.p and f.e = b.e)""")
+    steps.append(f"""o as (
+  select vec_id, label, string_agg(printf('%02x', (m % 64)::int), '' order by p) as code, sum(m // 64)::bigint as error
+  from a{rounds} join kept using (vec_id) group by vec_id, label)""")
+    return "with " + ",\n".join(steps) + f"""
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+       (select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) from b{rounds}) as codebooks_sha256
+from o"""
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
@@ -202,6 +239,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -210,4 +248,5 @@ ORACLE_SQL = {
     "op7_exact_dedup": OP7_SQL,
     "op8_ngram_join": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op11_vector_codes": _op11_sql(),
 }
