@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, neural_lm, ngram_join, secret_scan, token_files, vector_codes, warc
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, neural_lm, ngram_join, secret_scan, token_files, turn_repair, vector_codes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -228,6 +228,98 @@ select vec_id, code, error, (sum(error) over (partition by label))::bigint as la
 from o"""
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = turn_repair.repair(turn_repair.damage(talks)).summary()
+    every = talks.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    none = F.sha2(F.lit(""), 256)
+    return every.select(
+        "conv_id",
+        *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", none).alias("repaired_sha256"),
+    )
+
+
+#: crc32 of an ASCII string s.
+_CRC_SQL = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::bigint)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295)"""
+
+
+def _op13_sql() -> str:
+    """The best cost and edits by state of the grammar (x0 to x3), row by row for all conversations at once."""
+
+    def move(x, cost, letter):
+        return f"case when {x} is not null then {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}'}} end"
+
+    def least(*some):
+        return f"list_min([{', '.join(some)}])"
+
+    def when(condition, x):
+        return f"case when {condition} then {x} end"
+
+    def keep(x, initial):
+        return when(f"fault in (0, 3) and ini = '{initial}'", move(x, "5 * (fault = 3)::int", "K"))
+
+    def rename(x):
+        return when("fault in (0, 3)", move(x, "1 + 5 * (fault = 3)::int", "R"))
+
+    def drop(x):
+        return move(x, 2, "D")
+
+    def insert(x):
+        return move(x, 5, "I")
+
+    before_user = ("x0", "x1", "y3")
+    return f"""with recursive c as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         (coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')) as s from conversations),
+h as (select *, {_CRC_SQL} % 20 as k from c),
+d as (
+  select conv_id, turn, case when k = 4 then 'user' else role end as role,
+         case when k = 1 then '' when k = 2 then translate(text, '.!?', '') else text end as text, copy
+  from h, range(2) t(copy) where k <> 0 and (copy = 0 or k = 3)),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i from d),
+f as materialized (
+  select conv_id, turn, role, text, i, substr(role, 1, 1) as ini, lead(substr(role, 1, 1)) over (partition by conv_id order by i) as following,
+         case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 1
+              when row_number() over (partition by conv_id, role, text order by i) > 1 then 2
+              when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') then 3 else 0 end as fault from o),
+p as (
+  select conv_id, 0::bigint as i, {{'c': 0::bigint, 'a': ''}} as x0, null::struct(c bigint, a varchar) as x1,
+         null::struct(c bigint, a varchar) as x2, null::struct(c bigint, a varchar) as x3 from (select distinct conv_id from f)
+  union all
+  select conv_id, i, {drop('x0')}, {least(drop('x1'), keep('x0', 's'))},
+         {least(drop('y2'), *[keep(x, 'u') for x in before_user], *[rename(x) for x in before_user])},
+         {least(drop('y3'), keep('y2', 'a'), rename('y2'))}
+  from (select *, {least('x3', insert('y2'))} as y3 from (
+    select p.conv_id, f.i, fault, ini, x0, x1, x3, {least('x2', insert('x0'), insert('x1'), insert('x3'))} as y2
+    from p join f on f.conv_id is not distinct from p.conv_id and f.i = p.i + 1))),
+e as (
+  select p.conv_id, {least('x0', 'x3', insert('x2'), move('x1', 10, 'II'))} as best
+  from p join (select conv_id, max(i) as i from f group by conv_id) n on n.conv_id is not distinct from p.conv_id and n.i = p.i),
+l as (select conv_id, j, best.a[j] as letter from e, lateral (select unnest(range(1, len(best.a) + 1)) as j)),
+g as (
+  select *, sum((letter <> 'I')::int) over w as i, sum((letter <> 'D')::int) over w as n from l window w as (partition by conv_id order by j)),
+t as (
+  select g.conv_id, j, letter, g.n, role, case when letter = 'I' then '' else text end as text,
+         max((letter = 'K' and ini = 's')::int) over (partition by g.conv_id) as sys
+  from g left join f on f.conv_id is not distinct from g.conv_id and f.i = g.i where letter <> 'D'),
+s as (
+  select conv_id, sha256(string_agg(case when letter = 'K' then role when (n - sys) % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by j)) as sha
+  from t group by conv_id),
+q as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 1) as blank,
+         count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+         count(*) filter (following is not null and ini || following not in ('su', 'ua', 'au')) as illegal from f group by conv_id)
+select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, coalesce(best.c, 0) as cost, coalesce(best.a, '') as audit, coalesce(sha, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) a
+left join q on q.conv_id is not distinct from a.conv_id left join e on e.conv_id is not distinct from a.conv_id
+left join s on s.conv_id is not distinct from a.conv_id"""
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
@@ -240,6 +332,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
     "op11_vector_codes": op11_vector_codes,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 ORACLE_SQL = {
@@ -249,4 +342,5 @@ ORACLE_SQL = {
     "op8_ngram_join": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
     "op11_vector_codes": _op11_sql(),
+    "op13_turn_repair": _op13_sql(),
 }
