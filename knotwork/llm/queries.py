@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, neural_lm, ngram_join, secret_scan, token_files, turn_repair, vector_codes, warc
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, neural_lm, ngram_join, secret_scan, token_files, toxicity, turn_repair, vector_codes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -228,6 +228,14 @@ select vec_id, code, error, (sum(error) over (partition by label))::bigint as la
 from o"""
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(toxicity.fold("doc_id") == 2, F.lit(False))
+    model = toxicity.train(docs.filter(~held), table(spark, sf_dir, "labels"))
+    found = toxicity.score_toxicity(docs, model, carry=["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     found = turn_repair.repair(turn_repair.damage(talks)).summary()
@@ -332,6 +340,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
     "op11_vector_codes": op11_vector_codes,
+    "op12_toxicity": op12_toxicity,
     "op13_turn_repair": op13_turn_repair,
 }
 
