@@ -36,18 +36,20 @@ from .decontaminate import parts_by_bytes
 WORD, ENDS = re.compile(r"[\w@$*]+"), "@$*_"
 #: Letters of a stem at least and at most, and of a whole word that can be a term.
 STEMS, LONGEST = (3, 8), 24
-#: Bytes of text at a time, words and transitions that a worker remembers, counts before a task hands them on.
-PIECE, WORDS, MOVES, COUNTS = 1 << 20, 300_000, 200_000, 200_000
+#: Bytes of text at a time, tokens and transitions that a worker remembers, counts before a task hands them on.
+PIECE, WORDS, MOVES, COUNTS = 1 << 20, 400_000, 200_000, 200_000
+#: Letters of a remembered dead beginning; characters of a text after which all is forgotten.
+HEAD, LONG = 5, 1 << 20
 #: Words on each side of a hit (the next ones also as <word and >word), and the mark of a hit between quotation marks.
 AROUND, QUOTED = 5, '"'
 MARKS = "\"'`«»‘’‚“”„‹›"
-#: A document is toxic from this score on.
-LEVEL = 0.3
+#: Logarithm of odds that a match must have to count; a document is toxic from this score on.
+LEAST, LEVEL = 0.5, 0.3
 
 
 def words_in(text: str) -> set[str]:
     """The distinct words of a text in lower case."""
-    return {w.strip(ENDS).lower() for w in set(WORD.findall(text))} - {""}
+    return {w.strip(ENDS).lower() for w in set(WORD.findall(" ".join(set(text.split()))))} - {""}
 
 
 def forms_of(words: set[str]) -> set[str]:
@@ -133,6 +135,16 @@ class Matcher:
             self.letters.append(self._letters(len(self.states) - 1))
         return self.number[found]
 
+    def refuses(self, start: str) -> bool:
+        """Whether no word with this beginning can match."""
+        state = 1
+        for c in start:
+            key = (state, c if c in self.letters[state] else "")
+            if key not in self.moves:
+                self.moves[key] = self._move(state, c)
+            state = self.moves[key]
+        return not self.states[state][0] and self.states[state][1] is None
+
     def match(self, word: str) -> tuple[int, int] | None:
         """Number of the term and errors, None if no term is near enough."""
         if len(self.moves) > MOVES:
@@ -183,44 +195,83 @@ class Model:
 
 
 class Reader:
-    """Finds hits in texts; remembers a bounded number of words."""
+    """Finds hits in texts; remembers bounded numbers of tokens (runs without white space), words and dead beginnings."""
 
     def __init__(self, model: Model):
-        self.model, self.matcher, self.known = model, Matcher(model.terms), {}
-
-    def hits(self, text: str) -> tuple[list[Hit], int]:
-        """The hits of a text that weigh anything, and the number of its words."""
+        self.model, self.matcher = model, Matcher(model.terms)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.seen: set[str] = set()
+        self.hot: dict[str, list[tuple]] = {}
+        self.words: dict[str, tuple | None] = {}
+        self.dead: set[str] = set()
+
+    def _match(self, word: str) -> tuple[int, int] | None:
+        start = word[:HEAD]
+        if start in self.dead:
+            return None
+        core = word.strip(ENDS)
+        found = self.matcher.match(core.lower())
+        if not found:
+            # a sigma is another letter at the end of a word
+            if start[0] not in ENDS and "\u03a3" not in start and self.matcher.refuses(start.lower()):
+                self.dead.add(start)
+            return None
+        return found if not self.model.weights or self.model.weights[found[0]][found[1]] > 0 else None
+
+    def _learn(self, tokens: set[str]) -> dict[str, list[tuple]]:
+        """Those of new tokens with words that weigh anything: start, end, term and errors of each."""
+        words = set(WORD.findall(" ".join(tokens)))
+        for w in words.difference(self.words):
+            self.words[w] = self._match(w)
+        hits = {w for w in words if self.words[w]}
+        out: dict[str, list[tuple]] = {}
+        for token in tokens if hits else ():
+            for m in WORD.finditer(token):
+                w = m.group()
+                if w in hits:
+                    at = m.start() + len(w) - len(w.lstrip(ENDS))
+                    out.setdefault(token, []).append((at, at + len(w.strip(ENDS)), *self.words[w]))
+        return out
+
+    def hits(self, text: str, places: bool = False) -> tuple[list[Hit], int]:
+        """The hits of a text that weigh anything (``places``: with their code points), and the number of its tokens."""
         if not self.model.terms or not text:
             return [], 0
-        found = WORD.findall(text)
-        words = set(found)
-        if len(self.known) + len(words) > WORDS:
-            self.known = {}
-        known = self.known
-        for w in words.difference(known):
-            m = self.matcher.match(w.strip(ENDS).lower())
-            known[w] = m if m and (not self.model.weights or self.model.weights[m[0]][m[1]] > 0) else None
-        hot = {w for w in words if known[w]}
+        tokens = text.split()
+        kinds = set(tokens)
+        if len(self.seen) + len(kinds) > WORDS:
+            self._clear()
+        new = kinds.difference(self.seen)
+        self.hot |= self._learn(new)
+        self.seen |= new
+        hot = {t: self.hot[t] for t in kinds.intersection(self.hot)} if len(kinds) < len(self.hot) else {t: f for t, f in self.hot.items() if t in kinds}
         if not hot:
-            return [], len(found)
-        out, spans = [], [m.span() for m in WORD.finditer(text)]
-        for i in [i for i, w in enumerate(found) if w in hot]:
-            first, last = max(0, i - AROUND), min(len(found) - 1, i + AROUND)
-            near = [w.strip(ENDS).lower() if w not in hot else "" for w in found[first : last + 1]]
-            around = {*near, "<" + near[i - first - 1] if i > first else "<", ">" + near[i - first + 1] if i < last else ">"} - {"", "<", ">"}
-            (start, end), w = spans[i], found[i]
-            if any(c in MARKS for c in text[spans[first][0] : start]) and any(c in MARKS for c in text[end : spans[last][1] + 1]):
-                around.add(QUOTED)
-            start += len(w) - len(w.lstrip(ENDS))
-            out.append(Hit(start, start + len(w.strip(ENDS)), *known[w], sorted(around)))
-        return out, len(found)
+            return [], len(tokens)
+        starts = [m.start() for m in re.finditer(r"\S+", text)] if places else None
+        out = []
+        for i in [i for i, t in enumerate(tokens) if t in hot]:
+            token = tokens[i]
+            for start, end, term, errors in hot[token]:
+                ahead = " ".join([*tokens[max(0, i - AROUND) : i], token[:start]])
+                behind = " ".join([token[end:], *tokens[i + 1 : i + 1 + AROUND]])
+                near = [[w.strip(ENDS).lower() for w in WORD.findall(part)] for part in (ahead, behind)]
+                around = {*near[0], *near[1], *[f"<{w}" for w in near[0][-1:]], *[f">{w}" for w in near[1][:1]]} - {"", "<", ">"}
+                if any(c in ahead for c in MARKS) and any(c in behind for c in MARKS):
+                    around.add(QUOTED)
+                at = starts[i] if places else 0
+                out.append(Hit(at + start, at + end, term, errors, sorted(around)))
+        if len(text) > LONG:
+            self._clear()
+        return out, len(tokens)
 
     def leaning(self, hit: Hit) -> float:
         """Above 0 the words around speak for abuse, below 0 for quotation."""
         return max(-4.0, min(4.0, sum(self.model.context.get(w, 0.0) for w in hit.around)))
 
-    def features(self, text: str) -> tuple[list[float], list[Hit]]:
-        hits, n = self.hits(text)
+    def features(self, text: str, places: bool = False) -> tuple[list[float], list[Hit]]:
+        hits, n = self.hits(text, places)
         if not hits:
             return [0.0] * 7 + [math.log1p(n)], hits
         weights = [self.model.weights[h.term][h.errors] for h in hits]
@@ -320,13 +371,13 @@ def train(
     Lexicon, weights and contexts are counted over all of them. A term is in ``share`` of the toxic
     rows at least; the lexicon has at most ``terms`` terms (of at most 50 times as many candidates) and
     ``contexts`` context words, which bounds what is broadcast, and the regression is fitted on
-    at most ``sample`` labelled rows chosen by hash (documented bounds).
+    about ``sample`` labelled rows at most, chosen by hash (documented bounds).
     A document with several labels is toxic if one says so; null labels and ids do not count, a null
     text is empty. Without rows of both kinds every score is the share of toxic rows, 0 without rows.
     """
     y = labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows, path = materialize_at(texts.join(y, "_id").select("_id", "t", "y"), "labelled-texts")
+    rows, path = materialize_at(texts.join(y.hint("merge"), "_id").select("_id", "t", "y"), "labelled-texts")
     shares = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = shares.get(1, 0), shares.get(0, 0)
     model = Model(share=toxic / max(1, toxic + clean))
@@ -349,18 +400,18 @@ def train(
     met = materialize(_counts(rows, _with(model, keys)), "toxic-hits")
     found = {tuple(map(int, r.key.split())): (r.pos, r.neg) for r in met.filter(~F.col("key").startswith("\t")).collect()}
     for i in range(len(model.terms)):
-        exact = max(0.0, log_odds(*found.get((i, 0), (0, 0)), toxic, clean)[0])
+        exact = log_odds(*found.get((i, 0), (0, 0)), toxic, clean)[0]
         line = [exact]
         for e in (1, 2):
             pos, neg = found.get((i, e), (0, 0))
-            line.append(max(0.0, log_odds(pos, neg, toxic, clean)[0]) if pos + neg >= 3 else exact / 2)
-        model.weights.append(line)
+            line.append(log_odds(pos, neg, toxic, clean)[0] if pos + neg >= 3 else exact / 2)
+        model.weights.append([w if w >= LEAST else 0.0 for w in line])
     every = met.filter(F.col("key") == "\t").first()
     if every is not None:
         value, z = _log_odds(every.pos, every.neg)
         some = met.filter(F.col("key").startswith("\t") & (F.col("key") != "\t") & (F.abs(z) >= 3)).orderBy(F.desc(F.abs(z)), "key").limit(contexts)
         model.context = {r.key[1:]: log_odds(r.pos, r.neg, every.pos, every.neg)[0] for r in some.collect()}
-    drawn = rows.select("t", "y", F.xxhash64("_id", "t").alias("h")).orderBy("h", "y").limit(sample)
+    drawn = rows.filter(F.pmod(F.xxhash64("_id", "t"), F.lit(1 << 30)) < int(min(1.0, sample / (toxic + clean)) * (1 << 30)))
     fitted = _read(drawn.select("t", "y"), model, ["y"], "t", False).select("x", "y").collect()
     x, y = np.array([r.x for r in fitted]), np.array([r.y for r in fitted], float)
     if 0 < y.sum() < len(y):
@@ -392,7 +443,7 @@ def _read(df: DataFrame, model: Model, inner: list[str], body: str, spans: bool)
         for whole in batches:
             for start, n in parts_by_bytes(whole.column(body), PIECE):
                 part = whole.slice(start, n)
-                found = [reader.features(t or "") for t in part.column(body).to_pylist()]
+                found = [reader.features(t or "", spans) for t in part.column(body).to_pylist()]
                 x = np.array([f for f, _ in found]).reshape(-1, 8)
                 columns = {c: part.column(c) for c in inner}
                 columns["x"] = pa.array(x.tolist(), pa.list_(pa.float64()))
