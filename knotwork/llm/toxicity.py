@@ -254,6 +254,9 @@ class Reader:
         for i in [i for i, t in enumerate(tokens) if t in hot]:
             token = tokens[i]
             for start, end, term, errors in hot[token]:
+                if errors and not self.model.weights:  # contexts are learned from exact hits
+                    out.append(Hit(start, end, term, errors, []))
+                    continue
                 ahead = " ".join([*tokens[max(0, i - AROUND) : i], token[:start]])
                 behind = " ".join([token[end:], *tokens[i + 1 : i + 1 + AROUND]])
                 near = [[w.strip(ENDS).lower() for w in WORD.findall(part)] for part in (ahead, behind)]
