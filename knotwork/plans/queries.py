@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import components, detect, index, metrics, moves
 from ..operators.graph import Graph
 from ..sources import edgelist, generate, views
+from ..sources.levels import LevelStore
 from ..storage import materialize
 
 #: Rounds that ``local_move_k_rounds`` runs, and its active fraction.
@@ -354,7 +355,8 @@ def topo_levels(spark, sf_dir):
 @query(f"select v, c from {H} where level = 1")
 def community_at_level(spark, sf_dir):
     questions = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("v"))
-    found = index.CommunityIndex(copurchases(spark, sf_dir), by_size(spark, sf_dir), fixed_hierarchy(spark, sf_dir))
+    stored = LevelStore.save(fixed_hierarchy(spark, sf_dir))
+    found = index.CommunityIndex(copurchases(spark, sf_dir), by_size(spark, sf_dir), stored.table())
     return found.community_at_level(questions, 1)
 
 
@@ -390,71 +392,121 @@ def leiden_communities(spark, sf_dir):
     return detect.last_level(detect.leiden(copurchases(spark, sf_dir)))
 
 
-SOUND = f"""select (select count(*) from {N}) as nodes, true as covered, true as single_parent, true as dense, 0::bigint as splits, true as better"""
+#: Rounds from single vertices whose modularity a detected hierarchy must reach.
+BOUND_ROUNDS = 6
 
 
-def sound(graph: Graph, hierarchy: DataFrame, other: DataFrame) -> DataFrame:
+def bound_sql(a: str) -> str:
+    """CTEs up to ``p{BOUND_ROUNDS}``: the partition after rounds from single vertices of the graph with both directions ``a``."""
+    steps = [f"a as materialized {a}, k as materialized (select src as v, sum(w)::bigint as k from a group by src), p0 as (select v, v as c from k)"]
+    for i in range(BOUND_ROUNDS):
+        steps.append(f"""p{i + 1} as materialized (select p.v, coalesce(b.c, p.c) as c from p{i} p left join (
+          select v, c from ({best_sql(f'p{i}')}) where not stay
+            and (((v % 1073741824) * 2654435761 + {i * 40503}) % 4294967296 // 65536) % {PARTS} = 0) b on b.v = p.v)""")
+    return ", ".join(steps)
+
+
+def bound(graph: Graph) -> DataFrame:
+    """One row ``bound``: the modularity after those rounds, each stored."""
+    now = graph.vertices.filter("deg > 0").select("v", F.col("v").alias("c"))
+    for turn in range(BOUND_ROUNDS):
+        now = materialize(moves.move_round(graph.adj, now, turn, PARTS), "bound-round")
+    return metrics.modularity(graph, now).select(F.round("modularity", 6).alias("bound"))
+
+
+def sound_sql(a: str, n: str, checks: str) -> str:
+    last = f"p{BOUND_ROUNDS}"
+    return f"""with {bound_sql(a)}
+      select (select count(*) from {n}) as nodes, true as covered, true as single_parent, true as dense, {checks},
+        (select round(sum(i::double / m - (t::double / m) * (t::double / m)), 6) from (
+          select c, sum(i) as i, sum(t) as t from (
+            select x.c, case when x.c = y.c then w else 0 end as i, w as t from a join {last} x on x.v = a.src join {last} y on y.v = a.dst) group by c),
+          (select sum(w) as m from a)) as bound, true as reached"""
+
+
+#: What no hierarchy of the algorithm may have: see ``louvain_faults`` and ``leiden_faults``.
+LOUVAIN_CHECKS, LEIDEN_CHECKS = "0::bigint as open, 0::bigint as mergeable", "0::bigint as splits"
+
+
+def level_of(hierarchy: DataFrame, level) -> DataFrame:
+    return hierarchy.filter(F.col("level") == level).select("v", "c")
+
+
+def louvain_faults(graph: Graph, hierarchy: DataFrame) -> DataFrame:
+    """``open``: vertices that would gain by leaving their community of the first level;
+    ``mergeable``: pairs of communities of the last level whose union has more modularity."""
+    gains = moves.move_gains(graph.adj, level_of(hierarchy, 0).join(graph.vertices.filter("deg > 0").select("v"), "v", "left_semi"))
+    free = moves.best_moves(gains).agg(F.count_if(~F.col("stay")).alias("open"))
+    coarse = Graph(materialize(moves.coarsen(graph.edges, detect.last_level(hierarchy)), "last-level"))
+    alone = coarse.vertices.filter("deg > 0").select("v", F.col("v").alias("c"))
+    merges = moves.move_gains(coarse.adj, alone).join(moves.move_gains(coarse.adj, alone).filter("own").select("v", F.col("gain").alias("stay")), "v")
+    return free.join(F.broadcast(merges.agg((F.count_if(~F.col("own") & (F.col("gain") > F.col("stay"))) / 2).cast("long").alias("mergeable"))))
+
+
+def leiden_faults(graph: Graph, hierarchy: DataFrame) -> DataFrame:
+    """``splits``: communities of any level, as found, that fall into pieces; all levels are one graph side by side."""
+    n = graph.n
+    levels = materialize(hierarchy.select("level").distinct(), "levels")
+    shift = F.col("level") * n
+    edges = graph.edges.join(F.broadcast(levels)).select((F.col("src") + shift).alias("src"), (F.col("dst") + shift).alias("dst"), "w")
+    return moves.connectivity_splits(Graph(edges), hierarchy.select((F.col("v") + shift).alias("v"), (F.col("c") + shift).alias("c")))
+
+
+def sound(graph: Graph, hierarchy: DataFrame, faults: DataFrame) -> DataFrame:
     """One row on what every hierarchy must be: each level covers all vertices once, levels nest, labels are dense,
-    the repaired result has no splits and more modularity than ``other`` and than single vertices."""
+    there are no ``faults``, and the last level reaches ``bound``."""
     n = graph.n
     per = hierarchy.groupBy("level").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("v").alias("vs"), F.countDistinct("c").alias("cs"), F.max("c").alias("top"), F.min("c").alias("low")
     )
     per = per.agg(
         F.max("vs").alias("nodes"),
-        F.min(((F.col("rows") == n) & (F.col("vs") == n)).cast("int")).alias("covered"),
-        F.min(((F.col("top") + 1 == F.col("cs")) & (F.col("low") == 0)).cast("int")).alias("dense"),
-    )
-    parents = index.parents_per_child(hierarchy).agg(F.coalesce(F.max("parents"), F.lit(1)).alias("parents"))
-    repaired = materialize(moves.enforce_connectivity(graph, detect.last_level(hierarchy)), "repaired")
-    alone = repaired.select("v", F.col("v").alias("c"))
-    score, rivals = metrics.modularity(graph, repaired), [metrics.modularity(graph, x) for x in (other, alone)]
-    out = per.join(F.broadcast(parents)).join(F.broadcast(moves.connectivity_splits(graph, repaired))).join(F.broadcast(score))
-    for i, rival in enumerate(rivals):
-        out = out.join(F.broadcast(rival.withColumnRenamed("modularity", f"m{i}")))
-    return out.select(
-        "nodes",
-        (F.col("covered") == 1).alias("covered"),
-        (F.col("parents") == 1).alias("single_parent"),
-        (F.col("dense") == 1).alias("dense"),
-        "splits",
-        (F.col("modularity") > F.greatest("m0", "m1")).alias("better"),
+        (F.min(((F.col("rows") == n) & (F.col("vs") == n)).cast("int")) == 1).alias("covered"),
+        (F.min(((F.col("top") + 1 == F.col("cs")) & (F.col("low") == 0)).cast("int")) == 1).alias("dense"),
     )
+    parents = index.parents_per_child(hierarchy).agg((F.coalesce(F.max("parents"), F.lit(1)) == 1).alias("single_parent"))
+    score = metrics.modularity(graph, detect.last_level(hierarchy))
+    out = per.join(F.broadcast(parents)).join(F.broadcast(faults)).join(F.broadcast(bound(graph))).join(F.broadcast(score))
+    return out.select("nodes", "covered", "single_parent", "dense", *faults.columns, "bound", (F.col("modularity") >= F.col("bound")).alias("reached"))
 
 
-@query(SOUND)
+@query(sound_sql(A, N, LOUVAIN_CHECKS))
 def louvain_invariants(spark, sf_dir):
     graph = copurchases(spark, sf_dir)
-    return sound(graph, detect.louvain(graph), by_size(spark, sf_dir))
+    hierarchy = detect.louvain(graph)
+    return sound(graph, hierarchy, louvain_faults(graph, hierarchy))
 
 
-@query(SOUND)
+@query(sound_sql(A, N, LEIDEN_CHECKS))
 def leiden_invariants(spark, sf_dir):
     graph = copurchases(spark, sf_dir)
-    return sound(graph, detect.leiden(graph), by_size(spark, sf_dir))
+    hierarchy = detect.leiden(graph)
+    return sound(graph, hierarchy, leiden_faults(graph, hierarchy))
 
 
-USERS = f"(select unnest(range(0, (select max(greatest(src, dst)) + 1 from {views.SUCCESSION_SQL}))) as v)"
-ROUNDS_SOUND = SOUND.replace(N, USERS)
+S = views.SUCCESSION_SQL
+USERS = f"(select unnest(range(0, (select max(greatest(src, dst)) + 1 from {S}))) as v)"
+SUCCESSIONS = f"(select src, dst, w from {S} union all select dst, src, w from {S})"
 
 
-def successions(spark, sf_dir) -> tuple[Graph, DataFrame]:
-    graph = Graph(materialize(views.event_succession(spark, sf_dir), "successions"))
-    return graph, graph.vertices.select("v", (F.col("v") % 8).alias("c"))
+def successions(spark, sf_dir) -> Graph:
+    return Graph(materialize(views.event_succession(spark, sf_dir), "successions"))
 
 
-@query(ROUNDS_SOUND)
+@query(sound_sql(SUCCESSIONS, USERS, LOUVAIN_CHECKS))
 def louvain_rounds(spark, sf_dir):
-    """The distributed rounds on every level, whatever the size."""
-    graph, other = successions(spark, sf_dir)
-    return sound(graph, detect.louvain(graph, small_edges=0), other)
+    """Over event successions, a multigraph: both directions of a pair are parallel edges. No task moves vertices in turn."""
+    graph = successions(spark, sf_dir)
+    hierarchy = detect.louvain(graph, tail=0)
+    return sound(graph, hierarchy, louvain_faults(graph, hierarchy))
 
 
-@query(ROUNDS_SOUND)
+@query(sound_sql(SUCCESSIONS, USERS, LEIDEN_CHECKS))
 def leiden_rounds(spark, sf_dir):
-    """The distributed rounds and refinement on every level, whatever the size."""
-    graph, other = successions(spark, sf_dir)
-    return sound(graph, detect.leiden(graph, small_edges=0), other)
+    """Over event successions, with refinement on every level. No task moves vertices in turn."""
+    graph = successions(spark, sf_dir)
+    hierarchy = detect.leiden(graph, tail=0)
+    return sound(graph, hierarchy, leiden_faults(graph, hierarchy))
 
 
 BIPARTITE = """(select distinct o_custkey as src, l_suppkey + (select max(c_custkey) + 1 from customer) as dst, 1::bigint as w

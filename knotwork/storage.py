@@ -64,3 +64,14 @@ def discard(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table that nothing will read again."""
     target, fs = hadoop_path(spark, path)
     fs.delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, fs = hadoop_path(spark, path)
+    return fs.exists(target)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if there is none."""
+    target, fs = hadoop_path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
