@@ -29,10 +29,25 @@ NATION_TRADE_SQL = """(select least(c_nationkey, s_nationkey)::bigint as src, gr
   join supplier on s_suppkey = l_suppkey where c_nationkey <> s_nationkey group by all)"""
 
 
+#: Rows that a task joins or sums, about.
+TASK_ROWS = 1 << 20
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: they grow with the rows, so that a task's memory does not."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def part_copurchase(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    """Pairs of parts of one order, counted. The lines are dealt by order and the pairs by both parts, each to as many tasks as they need."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    dealt = lines.repartition(tasks_for(spark, lines.count()), "l_orderkey")
+    size = F.count(F.lit(1))
+    most = dealt.groupBy("l_orderkey").agg((size * (size - 1) / 2).cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    items = dealt.distinct()
     other = items.select("l_orderkey", F.col("l_partkey").alias("dst"))
-    pairs = items.withColumnRenamed("l_partkey", "src").join(other, "l_orderkey").filter("src < dst")
+    pairs = items.withColumnRenamed("l_partkey", "src").join(other, "l_orderkey").filter("src < dst").select("src", "dst")
+    pairs = pairs.repartition(tasks_for(spark, most), "src", "dst")
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).filter(F.col("w") >= least)
 
 
