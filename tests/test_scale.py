@@ -1,3 +1,5 @@
+from knotwork.operators import detect, index
+from knotwork.operators.graph import Graph
 from knotwork.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -12,3 +14,22 @@ def test_copurchases_take_as_many_tasks_as_their_rows_need(spark, monkeypatch):
     lines = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 300)
     assert "hashpartitioning(l_orderkey#" in plan and f", {lines}), REPARTITION_BY_NUM" in plan
     assert {tuple(r) for r in many.collect()} == few
+
+
+def test_components_are_solved_apart_as_together(spark):
+    rows = []
+    for copy in range(5):  # cliques in chains of different lengths, so that components have different depths
+        for clique in range(3 + 4 * copy):
+            first = 1000 * copy + 5 * clique
+            rows += [(first + i, first + j, 1) for i in range(5) for j in range(i)] + [(first + 4, first + 5, 1)]
+    graph = Graph(spark.createDataFrame(rows + [(9000, 9001, 1), (9002, 9002, 3)], "src long, dst long, w long"))
+    whole = len(rows) + 2
+    assert detect.component_groups(graph.edges, whole // 3) is None
+    groups = detect.component_groups(graph.edges, whole // 2)
+    assert groups.select("g").distinct().count() > 1 and groups.count() == groups.select("v").distinct().count()
+    for algorithm in ("louvain", "leiden"):
+        together = {tuple(r) for r in detect.last_level(detect.detect(graph, algorithm)).collect()}
+        apart = detect.detect(graph, algorithm, small_edges=whole // 2)
+        assert {tuple(r) for r in detect.last_level(apart).collect()} == together
+        assert index.parents_per_child(apart).filter("parents <> 1").isEmpty()
+        assert apart.groupBy("level").count().select("count").distinct().count() == 1
