@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from knotwork.llm import neural_lm
 from knotwork.operators import detect, index
 from knotwork.operators.graph import Graph
 from knotwork.sources import views
@@ -33,3 +36,23 @@ def test_components_are_solved_apart_as_together(spark):
         assert {tuple(r) for r in detect.last_level(apart).collect()} == together
         assert index.parents_per_child(apart).filter("parents <> 1").isEmpty()
         assert apart.groupBy("level").count().select("count").distinct().count() == 1
+
+
+def test_every_training_token_reaches_the_network(spark, monkeypatch):
+    table = spark.createDataFrame([(i, f"the {i} cat sat on mat {i % 7}") for i in range(400)], "doc_id long, text string")
+    seen = []
+    fit = neural_lm.fit_shards
+
+    def counted(examples, net, shards, noise, epochs, *rest):
+        sizes = {r.shard: r.n for r in examples.groupBy("shard").agg((F.sum(F.length("drawn")) / 6).alias("n")).collect()}
+        seen.append((sum(sizes.values()), len(sizes), shards))
+        fit(examples, net, shards, noise, epochs, *rest)
+
+    monkeypatch.setattr(neural_lm, "fit_shards", counted)
+    scores = []
+    for rows in (table, table.repartition(5)):
+        scored, model = neural_lm.score_documents(rows, rows, examples=100, shard=300)
+        scores.append({r.doc_id: r.score for r in scored.collect()})
+    # every token and end mark once, dealt over all shards; the fit does not depend on the tasks
+    assert seen == [(3200, 10, 10)] * 2 and model.totals["seen"] == model.totals["tokens"] == 3200
+    assert scores[0] == scores[1]
