@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from knotwork.llm import neural_lm
 from knotwork.operators import detect, index
 from knotwork.operators.graph import Graph
+from knotwork.plans import queries
 from knotwork.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,35 @@ def test_every_training_token_reaches_the_network(spark, monkeypatch):
     # every token and end mark once, dealt over all shards; the fit does not depend on the tasks
     assert seen == [(3200, 10, 10)] * 2 and model.totals["seen"] == model.totals["tokens"] == 3200
     assert scores[0] == scores[1]
+
+
+def test_blocks_leave_no_offer(spark, monkeypatch):
+    """Components over the kernel's bound converge by blocks, with the in-turn tail off."""
+    rows = spark.sql("select pmod(xxhash64(id), 30) as src, pmod(xxhash64(id, 1), 30) as dst, 1L + id % 3 as w from range(150)").filter("src <> dst")
+    graph = Graph(rows)
+    used = []
+    real = detect._in_blocks
+    monkeypatch.setattr(detect, "_in_blocks", lambda *a: used.append(a[1] is None) or real(*a))
+    found = detect.detect(graph, small_edges=60, tail=0, block=30)
+    assert True in used
+    assert not any(queries.louvain_faults(graph, found).first()) and index.parents_per_child(found).filter("parents <> 1").isEmpty()
+
+
+def test_parents_are_refined_apart_as_together(spark):
+    rows = spark.sql("select pmod(xxhash64(id), 60) as src, pmod(xxhash64(id, 1), 60) as dst, 1L as w from range(400)").filter("src <> dst")
+    parents = spark.range(60).select(F.col("id").alias("v"), (F.col("id") % 4).alias("c"))
+    near, degree = detect._links(*zip(*[(r.src, r.dst, r.w) for r in rows.collect()]))
+    ids = {v: v % 4 for v in near}
+    want = detect._refine(near, degree, ids, 1, 0.05)
+    for block in (5, 1 << 18):
+        got = detect.refine_apart(rows, parents, 1.0, 0.05, 1000, block)
+        assert {r.v: r.c for r in got.collect()} == want
+    large = {r.v: r.c for r in detect.refine_apart(rows, parents, 1.0, 0.05, 1).collect()}  # by rounds
+    assert large.keys() == want.keys() and all(large[v] % 4 == v % 4 for v in large)
+
+
+def test_parallel_edges_count_once_for_the_kernel(spark, monkeypatch):
+    rows = [(a, b, 1) for a in range(8) for b in range(8) if a != b] * 3
+    monkeypatch.setattr(detect, "local_moving", lambda *_: 1 / 0)
+    found = detect.detect(Graph(spark.createDataFrame(rows, "src long, dst long, w long")), small_edges=28)
+    assert detect.last_level(found).select("c").distinct().count() == 1
