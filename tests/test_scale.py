@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from knotwork.llm import neural_lm
@@ -89,3 +90,12 @@ def test_parallel_edges_count_once_for_the_kernel(spark, monkeypatch):
     monkeypatch.setattr(detect, "local_moving", lambda *_: 1 / 0)
     found = detect.detect(Graph(spark.createDataFrame(rows, "src long, dst long, w long")), small_edges=28)
     assert detect.last_level(found).select("c").distinct().count() == 1
+
+
+def test_network_is_fitted_in_single_precision():
+    net = neural_lm.LogBilinear(np.array([5.0, 3, 2, 1]), 4, 1)
+    net.fit(np.array([[3, 3, 1], [3, 1, 2], [1, 2, 3]] * 50), 8, 20, 0.1)
+    assert net.state().dtype == np.float32
+    far, near, target, bias, norm = (x.astype(float) for x in net.vectors())
+    totals = np.log10((10 ** ((far[3] + near[1]) @ target.T + bias)).sum())
+    assert abs(totals - norm[3, 1]) < 1e-5
