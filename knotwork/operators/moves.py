@@ -6,14 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import place_of
+from ..sources.views import tasks_for
 from .components import star_forest
 from .graph import Graph
 
 
+def _neighbor_rows(adj: DataFrame, partition: DataFrame) -> DataFrame:
+    p = partition.select(F.col("v").alias("dst"), "c")
+    return adj.filter("src <> dst").join(p, "dst").select(F.col("src").alias("v"), "c", F.col("w").alias("k_in"))
+
+
+def _summed(rows: DataFrame, count: int) -> DataFrame:
+    """Sums of ``k_in`` by ``v, c``. Few of the rows agree, so they are dealt to as many tasks
+    as they need first: summed where they are read, a task's table would grow with its split."""
+    dealt = rows.repartition(tasks_for(rows.sparkSession, count), "v", "c")
+    return dealt.groupBy("v", "c").agg(F.sum("k_in").alias("k_in"))
+
+
 def neighbor_weights(adj: DataFrame, partition: DataFrame) -> DataFrame:
     """``v, c, k_in``: weight from a vertex to each neighbouring community, loops left out."""
-    p = partition.select(F.col("v").alias("dst"), "c")
-    return adj.filter("src <> dst").join(p, "dst").groupBy(F.col("src").alias("v"), "c").agg(F.sum("w").alias("k_in"))
+    return _summed(_neighbor_rows(adj, partition), adj.count())
 
 
 def move_gains(adj: DataFrame, partition: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -27,7 +39,7 @@ def move_gains(adj: DataFrame, partition: DataFrame, resolution: float = 1.0) ->
     totals = at.groupBy("c").agg(F.sum("k").alias("total"))
     mass = degrees.agg(F.sum("k").alias("mass"))
     zero = at.select("v", "c", (F.col("k") * 0).alias("k_in"))
-    offers = neighbor_weights(adj, partition).unionByName(zero).groupBy("v", "c").agg(F.sum("k_in").alias("k_in"))
+    offers = _summed(_neighbor_rows(adj, partition).unionByName(zero), adj.count())
     here = at.select("v", F.col("c").alias("home"), "k")
     rows = offers.join(here, "v").join(totals, "c").join(F.broadcast(mass))
     rest = F.col("total") - F.when(F.col("c") == F.col("home"), F.col("k")).otherwise(F.col("k") * 0)

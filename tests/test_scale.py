@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from knotwork.llm import neural_lm
-from knotwork.operators import detect, index
+from knotwork.operators import detect, index, moves
 from knotwork.operators.graph import Graph
 from knotwork.plans import queries
 from knotwork.sources import views
@@ -21,6 +21,19 @@ def test_copurchases_take_as_many_tasks_as_their_rows_need(spark, monkeypatch):
     assert {tuple(r) for r in many.collect()} == few
 
 
+def test_neighbour_weights_take_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    adj = queries.copurchases(spark, SF).adj
+    parts = queries.by_size(spark, SF)
+    few = [{tuple(r) for r in f(adj, parts).collect()} for f in (moves.neighbor_weights, moves.move_gains)]
+    monkeypatch.setattr(views, "TASK_ROWS", 300)
+    tasks = -(-adj.count() // 300)
+    for f, want in zip((moves.neighbor_weights, moves.move_gains), few):
+        many = f(adj, parts)
+        assert {tuple(r) for r in many.collect()} == want
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(v#" in plan and f", {tasks}), REPARTITION_BY_NUM" in plan
+
+
 def test_components_are_solved_apart_as_together(spark):
     rows = []
     for copy in range(5):  # cliques in chains of different lengths, so that components have different depths
