@@ -39,7 +39,7 @@ from .rans import BLOCK_TOKENS, FrequencyTable, decode_block, encode_block
 MAGIC = b"RTOK0001"
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text encoded at a time, and the longest piece that is remembered.
-PIECE = 2 << 20
+PIECE = 4 << 20
 LONGEST = 64
 
 

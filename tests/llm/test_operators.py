@@ -7,6 +7,7 @@ from collections import Counter
 import math
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -235,3 +236,17 @@ def test_language_features_cover_whole_words():
     docs = [(["x" * 30 + end] * 64, label) for label, end in ((0, "ung"), (1, "ment"))] * 40
     model.fit(docs, 4, 0.05, 1e-4, 5)
     assert model.emissions(["y" * 30 + "ung", "y" * 30 + "ment"]).argmax(1).tolist() == [0, 1]
+
+
+def test_three_megabytes_are_encoded_at_once_with_the_same_ids():
+    """Different words are encoded once a slice, so small slices cost more."""
+    from knotwork.llm.decontaminate import parts_by_bytes
+
+    texts = pa.array([f"Word{i % 97} of text {i}, né? " * 40 for i in range(3000)])
+    assert texts.nbytes > 3 << 20 and len(list(parts_by_bytes(texts, token_files.PIECE))) == 1
+    tokenizer = token_files.WordTokenizer(open(token_files.public_tokenizers.path(token_files.DEFAULT_VOCABULARY), encoding="utf-8").read())
+    whole = tokenizer.encode(texts, 1)
+    parts = [tokenizer.encode(texts.slice(start, n), 1) for start, n in parts_by_bytes(texts, 1 << 18)]
+    assert len(parts) > 10
+    for i in range(2):
+        assert np.array_equal(whole[i], np.concatenate([p[i] for p in parts]))
