@@ -34,6 +34,17 @@ def test_neighbour_weights_take_as_many_tasks_as_their_rows_need(spark, monkeypa
         assert "hashpartitioning(v#" in plan and f", {tasks}), REPARTITION_BY_NUM" in plan
 
 
+def test_questions_take_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    found = index.CommunityIndex(queries.copurchases(spark, SF), queries.by_size(spark, SF))
+    asked = queries.pairs(spark, SF)
+    few = {tuple(r) for r in found.same_community(asked).collect()}
+    monkeypatch.setattr(views, "TASK_ROWS", 10)
+    many = found.same_community(asked)
+    assert {tuple(r) for r in many.collect()} == few
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-asked.count() // 10)}), REPARTITION_BY_NUM" in plan
+
+
 def test_components_are_solved_apart_as_together(spark):
     rows = []
     for copy in range(5):  # cliques in chains of different lengths, so that components have different depths
