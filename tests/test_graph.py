@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from knotwork.functions import turns
 from knotwork.operators import components, detect, index, metrics, moves
 from knotwork.operators.graph import Graph
 from knotwork.sources import edgelist, generate
@@ -116,3 +118,26 @@ def test_both_paths_end_without_offers(spark):
     kernel = spark.createDataFrame(list(label.items()), "v long, c long")
     for found in (kernel, detect.local_moving(g.edges, start, 1.0)[0]):
         assert moves.best_moves(moves.move_gains(g.adj, found, 1.0)).filter("not stay").count() == 0
+
+
+def test_array_moves_end_without_offers():
+    rng = np.random.default_rng(5)
+    src, dst = rng.integers(0, 3000, (2, 60000))
+    for w, cells in ((rng.integers(1, 4, 60000), 1 << 24), (rng.integers(1, 4, 60000), 30000), (rng.random(60000), 30000)):
+        k = np.bincount(np.concatenate([src, dst]), np.concatenate([w, w]), 3000).astype(w.dtype)
+        lists = turns.neighbour_lists(src, dst, w, 3000)
+        was, turns.CELLS = turns.CELLS, cells
+        label, changed = turns.local_moves(*lists, k, np.arange(3000), 1, k.sum(), 0 if w.dtype.kind == "i" else 1e-12)
+        turns.CELLS = was
+        near, degree = detect._links(src.tolist(), dst.tolist(), w.tolist())
+        rest = {v: int(label[v]) for v in near}
+        before = dict(rest)
+        assert changed and not detect._local_moves(near, degree, rest, 1) and rest == before
+
+
+def test_kernel_visits_only_vertices_with_offers(monkeypatch):
+    rng = np.random.default_rng(6)
+    src, dst = rng.integers(0, 400, (2, 9000))
+    monkeypatch.setattr(detect, "_local_moves", lambda *_: 1 / 0)  # the walk over all vertices
+    ids, levels = detect.kernel(src, dst, np.ones(9000), "leiden", 1.0, 0.05)
+    assert len(ids) == 400 and len(levels) > 1 and all(len(level) == 400 for level in levels)
